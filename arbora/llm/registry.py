@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arbora.llm import byte_bpe, chat, language, quality, token_counts
+from arbora.llm import byte_bpe, chat, language, quality, repeats, token_counts
 
-MODULES = [byte_bpe, chat, token_counts, quality, language]
+MODULES = [byte_bpe, chat, token_counts, repeats, quality, language]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
