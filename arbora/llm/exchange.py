@@ -1,6 +1,6 @@
 """Asking all of a corpus about hashed keys: chunks of documents send their distinct keys to buckets, buckets answer each chunk.
 
-A chunk is a set of documents given by a hash of the id, about CHUNK_BYTES of text; a bucket is a range of hashes. What travels is packed:
+A chunk is a set of documents given by a hash of the id, a few MB of text; a bucket is a range of hashes. What travels is packed:
 a row for each chunk and bucket, holding arrays of the chunk's distinct keys in order, and back an array of one answer a key. A key that
 fills a third of the corpus is thus at most one entry of each chunk, and no chunk or bucket grows with the corpus: their number does.
 """
@@ -13,7 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+#: Least and most bytes of text in a chunk, and keys in a bucket: they bound a task's memory. Between them both follow the corpus, so that a row
+#: of the exchange stays worth its overhead.
+CHUNK_BYTES, BUCKET_KEYS = (2 << 20, 16 << 20), (1 << 17, 1 << 20)
 _U = np.uint64
 
 
@@ -21,9 +23,12 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def counts(total_bytes: int, keys_a_byte: float, keys_a_bucket: int = 1 << 20) -> tuple[int, int]:
+def counts(total_bytes: int, keys_a_byte: float) -> tuple[int, int]:
     """Numbers of chunks and of buckets for this much text."""
-    return max(8, math.ceil(total_bytes / CHUNK_BYTES)), max(8, math.ceil(total_bytes * keys_a_byte / keys_a_bucket))
+    keys = total_bytes * keys_a_byte
+    chunk = min(max(total_bytes / 1024, CHUNK_BYTES[0]), CHUNK_BYTES[1])
+    bucket = min(max(keys / 512, BUCKET_KEYS[0]), BUCKET_KEYS[1])
+    return max(8, math.ceil(total_bytes / chunk)), max(8, math.ceil(keys / bucket))
 
 
 def chunk_of(doc_id: Column | str, n: int) -> Column:

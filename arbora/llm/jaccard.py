@@ -87,7 +87,7 @@ def _count(sent: pa.Table) -> pa.Table:
 
 def shared_sets(docs: DataFrame, points: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, own, shingles): for points that can have a partner their size, how many shingles no other has, and the rest rarest first."""
-    n_chunks, n_buckets = counts(text_bytes(docs, text), 1 / 6, 1 << 21)
+    n_chunks, n_buckets = counts(text_bytes(docs, text), 1 / 6)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("chunk", chunk_of("doc_id", n_chunks))
     named = points.select("doc_id", "k1", "k2", chunk_of("doc_id", n_chunks).alias("chunk"))
 

@@ -32,7 +32,7 @@ from arbora.llm.exchange import bucket_cuts, chunk_of, counts, pack, placed, unp
 from arbora.llm.words import mix
 from arbora.session import table
 
-SIZE, GRAM, PIECE = 50, 20, 1 << 20
+SIZE, GRAM, PIECE = 50, 20, 1 << 18
 _U = np.uint64
 _SEG = _U((1 << 56) - 1)
 _RNG = np.random.default_rng(46021)
