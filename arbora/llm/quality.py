@@ -164,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return train(x, y, cuts)
 
 
-def judge(docs: DataFrame, model: LineCRF | None, doc_id: str = "doc_id", text: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
-    """doc_id, the base counts, base_failed, content_share (null without words or model) and kept."""
+def judge(docs: DataFrame, model: LineCRF | None, doc_id: str = "doc_id", text: str = "text", share: float = CONTENT_SHARE, keep_columns: bool = False) -> DataFrame:
+    """doc_id, the base counts, base_failed, content_share (null without words or model) and kept; with keep_columns the input's columns come first."""
+    own = docs.columns if keep_columns else [doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -179,12 +180,14 @@ def judge(docs: DataFrame, model: LineCRF | None, doc_id: str = "doc_id", text:
                 with np.errstate(invalid="ignore"):
                     good = (total[lines[1:]] - total[lines[:-1]]) / np.where(base["word_chars"] > 0, base["word_chars"], np.nan)
             kept = ~failed & ~(good < share)
-            arrays = [batch.column(doc_id), *map(pa.array, base.values()), pa.array(failed), pa.array(good, from_pandas=True), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *base, "base_failed", "content_share", "kept"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+            made = {**{k: pa.array(v) for k, v in base.items()}, "base_failed": pa.array(failed), "content_share": pa.array(good, from_pandas=True), "kept": pa.array(kept)}
+            first = {c: batch.column(c) for c in own if c not in made}
+            yield pa.RecordBatch.from_arrays([*first.values(), *made.values()], [*first, *made])
+
+    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"}
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own if c not in new)
+    schema += ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+    return docs.select(*dict.fromkeys([*own, doc_id, text])).mapInArrow(run, schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arbora.llm import byte_bpe, chat, jaccard, language, neighbours, quality, repeats, token_counts
+from arbora.llm import byte_bpe, chat, jaccard, language, licenses, mixing, neighbours, quality, repeats, token_counts
 
-MODULES = [byte_bpe, chat, token_counts, repeats, neighbours, quality, language, jaccard]
+MODULES = [byte_bpe, chat, token_counts, repeats, mixing, licenses, neighbours, quality, language, jaccard]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
