@@ -10,7 +10,7 @@ drops what stands alone, and after the last one equal groups are exactly the rep
 3. Only of those first occurrences each window is ordered by all its bytes.
 
 Each pass sends packed distinct keys to buckets and gets one answer a key back (see exchange.py): the smallest document wins, which is
-all that is needed, so no group is ever gathered. Strings are told apart by at least 96 bits of two independent hashes.
+all that is needed, so no group is ever gathered. Strings are told apart by at least 80 bits of two independent hashes.
 
 Null and empty texts have nothing to remove. Rows with a null id neither lose nor explain a byte. Rows that share an id do not
 count as smaller than each other. Texts shorter than `size` stay whole. Only the id and text columns are used; bytes left over from
@@ -34,7 +34,8 @@ from arbora.session import table
 
 SIZE, GRAM, PIECE = 50, 20, 1 << 18
 _U = np.uint64
-_SEG = _U((1 << 56) - 1)
+PROOF = 5  # bytes of the second hash that travel
+_SEG = _U((1 << 8 * PROOF) - 1)
 _RNG = np.random.default_rng(46021)
 _BYTE = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1) for _ in range(2)]
 _BASE = [0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4D]
@@ -161,7 +162,7 @@ class Entries:
     def rows(self, kind: int, chunk: int, n_buckets: int, width: int) -> list[dict]:
         cuts = bucket_cuts(self.key, n_buckets)
         return [
-            {"kind": kind, "bucket": b, "chunk": chunk, "key": pack(self.key[i:j], 5), "proof": pack(self.proof[i:j], 7), "doc": pack(self.doc[i:j], width)}
+            {"kind": kind, "bucket": b, "chunk": chunk, "key": pack(self.key[i:j], 5), "proof": pack(self.proof[i:j], PROOF), "doc": pack(self.doc[i:j], width)}
             for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()))
             if j > i
         ]
@@ -178,7 +179,7 @@ def settle(sent: pa.Table, width: int) -> pa.Table:
     rows = sent.to_pylist()
     sizes = np.array([len(r["key"]) // 5 for r in rows])
     key = np.concatenate([unpack(r["key"], 5) for r in rows])
-    proof = np.concatenate([unpack(r["proof"], 7) for r in rows])
+    proof = np.concatenate([unpack(r["proof"], PROOF) for r in rows])
     doc = np.concatenate([unpack(r["doc"], width) for r in rows]).astype(np.int64)
     order = np.lexsort((doc, proof, key))
     k, p, d = key[order], proof[order], doc[order]
@@ -214,7 +215,8 @@ def _covered(chunk: Chunk, first: Entries, code: np.ndarray) -> tuple[np.ndarray
 def find_repeats(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Apply finish(documents of a chunk, their bytes, where each begins and ends, which bytes are covered) to every chunk."""
     stats = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.min(doc_id).alias("lo"), F.max(doc_id).alias("hi")).first()
-    base, width = int(stats.lo or 0), 4 if (stats.hi or 0) - (stats.lo or 0) < 1 << 32 else 8
+    base = int(stats.lo or 0)
+    width = max(1, (int(stats.hi or 0) - base).bit_length() + 7 >> 3)  # bytes of an id less the smallest
     n_chunks, n_buckets = counts(int(stats.b or 0), 2 / (size - gram + 2))
     rest = [c for c in docs.columns if c not in (doc_id, text)]
     chunked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest"), chunk_of(doc_id, n_chunks).alias("chunk"))
