@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.plans import morphometry
+from arbora.plans import morphometry, spans
 
-FLAGSHIP = "segment_morphometry"
-MODULES = [morphometry]
+FLAGSHIP = "order_statistics"
+MODULES = [morphometry, spans]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
