@@ -118,13 +118,14 @@ def contract_chains(tree: DataFrame, length: str) -> DataFrame:
     """Merge pass-through nodes (one child, not a root) into the branch below them: (node, parent, n_merged, length) of what remains."""
     kids = tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("k"))
     marked = stash(tree.join(kids, "node", "left").select("node", "parent", length, ((F.col("k") == 1) & F.col("parent").isNotNull()).alias("through")).fillna(False, ["through"]), "through")
-    now = marked.where("not through").select("node", "parent", F.lit(0).cast("long").alias("n_merged"), F.col(length).alias("length"))
     over = marked.where("through").select(F.col("node").alias("parent"), F.col("parent").alias("above"), F.lit(1).cast("long").alias("m"), F.col(length).alias("more"))
-    while not over.isEmpty():  # doubling: a run of pass-through nodes is halved each round
-        now = stash(now.join(over, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), (F.col("n_merged") + F.coalesce("m", F.lit(0))).alias("n_merged"), (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length")), "chains")
+    over = stash(over.withColumn("moved", F.lit(True)), "chains")
+    while not over.where("moved").isEmpty():  # each pass-through node takes over what the one above it reaches, so reaches double
         nxt = over.select(F.col("parent").alias("above"), F.col("above").alias("above2"), F.col("m").alias("m2"), F.col("more").alias("more2"))
-        over = stash(over.join(nxt, "above").select("parent", F.col("above2").alias("above"), (F.col("m") + F.col("m2")).alias("m"), (F.col("more") + F.col("more2")).alias("more")), "chains")
-    return now
+        over = stash(over.join(nxt, "above", "left").select("parent", F.coalesce("above2", "above").alias("above"), (F.col("m") + F.coalesce("m2", F.lit(0))).alias("m"), (F.col("more") + F.coalesce("more2", F.lit(0.0))).alias("more"), F.col("above2").isNotNull().alias("moved")), "chains")
+    kept = marked.where("not through").select("node", "parent", F.col(length).alias("length"))
+    whole = F.col("length") + F.coalesce("more", F.lit(0.0))
+    return kept.join(over.drop("moved"), "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.coalesce("m", F.lit(0).cast("long")).alias("n_merged"), whole.alias("length"))
 
 
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
