@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from arbora.session import stash, table
 
 TRAIN_DOCS, MODEL_WORDS, MIN_SCORE = 3000, 20_000, 4.0
-STEPS, RIDGE = 40, 1e-3
+STEPS, RIDGE = 36, 1e-3
 #: Weights asked of the domains of the labels table.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 
@@ -66,7 +66,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str
     seen = features(sample, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
     size = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [max(size.get(d, 0), 1) for d in domains]
-    counts = seen.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*(F.count_if(F.col("domain") == d).cast("double").alias(f"c{i}") for i, d in enumerate(domains)))
+    # explode_outer: for explode Spark would infer a filter on the array and work it out a second time, for every document below the join
+    counts = seen.select("domain", F.explode_outer("words").alias("word")).where("word is not null").groupBy("word").agg(*(F.count_if(F.col("domain") == d).cast("double").alias(f"c{i}") for i, d in enumerate(domains)))
     total_c = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0.0))
     share = total_c / sum(n)
     # how far the domains' counts are from equal shares, in standard deviations: the largest of the domains
@@ -83,7 +84,7 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float], doc_id: s
     k = len(priors)
     have = features(docs, doc_id, text)
     sums = [F.sum(F.get("weights", F.lit(i))).alias(f"s{i}") for i in range(k)]
-    rows = have.select("doc_id", "n_tokens", F.explode(F.concat(F.array(F.lit(0).cast("long")), "words")).alias("word"), F.monotonically_increasing_id().alias("row"))
+    rows = have.select("doc_id", "n_tokens", F.explode_outer(F.concat(F.array(F.lit(0).cast("long")), "words")).alias("word"))
     # one entry with weights of zero keeps documents without a known word; the model has at most MODEL_WORDS rows
     own = model.where("word <> 0").unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("word"), F.array(*(F.lit(0.0) for _ in priors)).alias("weights")))
     found = rows.join(F.broadcast(own), "word").groupBy("doc_id").agg(*sums, F.sum(F.when(F.col("word") == 0, F.col("n_tokens"))).alias("n_tokens"), F.count_if(F.col("word") == 0).alias("n_rows"))
@@ -115,7 +116,7 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge:
         after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         now = now.withColumn("next", moved).withColumn("ahead", F.greatest(F.col("next") + (momentum - 1) / after * (F.col("next") - F.col("rate")), F.lit(0.0))).withColumn("rate", F.col("next")).drop("next")
         momentum = after
-        if step % 8 == 7:
+        if step % 12 == 11:
             now = stash(now, "rates")
     reached = now.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", F.lit(d))).alias(f"s{d}") for d in range(k))).first()
     sums = [reached[f"s{d}"] or 0.0 for d in range(k)]
