@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.plans import forest, joins, morphometry, spans
+from arbora.plans import edits, forest, joins, morphometry, spans, voxels
 
 FLAGSHIP = "order_statistics"
-MODULES = [morphometry, spans, joins, forest]
+MODULES = [morphometry, spans, joins, forest, edits, voxels]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
