@@ -164,6 +164,11 @@ ORACLES = {
     "outlet_fractions": _rec("SELECT cut, count(*) AS n_leaves, round(sum(flow) / sum(sum(flow)) OVER (), 9) AS fraction FROM (SELECT p.node, p.ancestor AS cut, flow FROM paths p JOIN levels l ON l.node = p.ancestor AND l.depth = 4 JOIN flows f ON f.node = p.node WHERE p.node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL)) GROUP BY cut", ", ".join([_CLOSURE, _LEVELS, _FLOW]), "tree"),
     "crop_walk": _rec("SELECT * FROM walk", "flagged AS (SELECT *, node > 20 AND radius < 9.7 AND node % 3 = 0 AS rejected FROM tree), walk(node, rejected) AS (SELECT node, rejected FROM flagged WHERE parent IS NULL UNION ALL SELECT f.node, f.rejected FROM flagged f JOIN walk w ON f.parent = w.node WHERE NOT w.rejected)", "tree"),
     "prune_terminals": _rec("SELECT node, parent FROM tree WHERE parent IS NULL OR node IN (SELECT ancestor FROM paths WHERE node % 5 >= 3)", _CLOSURE, "tree"),
+    "contract_chains": _rec("""SELECT node, parent, n AS n_merged, round(length, 6) AS length FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC) AS k FROM up) WHERE k = 1""", _CLOSURE + """,
+kept AS (SELECT node, parent, radius FROM tree WHERE parent IS NULL OR node IN (SELECT ancestor FROM paths WHERE node % 5 >= 3)),
+kids AS (SELECT parent AS node, count(*) AS k FROM kept WHERE parent IS NOT NULL GROUP BY 1),
+marked AS (SELECT kept.*, coalesce(k = 1 AND kept.parent IS NOT NULL, false) AS through FROM kept LEFT JOIN kids USING (node)),
+up(node, parent, n, length) AS (SELECT node, parent, CAST(0 AS BIGINT), radius FROM marked WHERE NOT through UNION ALL SELECT u.node, m.parent, n + 1, u.length + m.radius FROM up u JOIN marked m ON m.node = u.parent WHERE m.through)""", "tree"),
     "graph_components": f"WITH RECURSIVE {_REACH} SELECT * FROM comp",
     "component_sizes": f"WITH RECURSIVE {_REACH} SELECT component, count(*) AS n_nodes, round(count(*) / max(count(*)) OVER (), 6) AS share FROM comp GROUP BY component",
     "cycle_count": f"WITH RECURSIVE {_REACH} SELECT n_edges, n_nodes, n_components, n_edges - n_nodes + n_components AS cycles FROM (SELECT count(*) AS n_edges FROM graph), (SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components FROM comp)",
