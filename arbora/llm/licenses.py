@@ -64,8 +64,11 @@ def _least(shingles: Column, seed: int) -> Column:
 
 def _minima(shingles: Column, windows: Column) -> Column:
     """All minima of all windows. windows: array of (first shingle, number of shingles)."""
-    per = [F.transform(windows, lambda w, seed=seed: _least(F.slice(shingles, w["at"] + 1, w["n"]), seed)) for seed in _seeds()]
-    return F.array_distinct(F.flatten(F.array(*per)))
+
+    def under(seed: int) -> Column:
+        return F.transform(windows, lambda w: _least(F.slice(shingles, w["at"] + 1, w["n"]), seed))
+
+    return F.array_distinct(F.flatten(F.array(*(under(seed) for seed in _seeds()))))
 
 
 def compiled(spark: SparkSession, notices: dict[str, str]) -> list[tuple[str, list[int], list[int]]]:
@@ -110,15 +113,15 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     rows = ",\n  ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in NOTICES.items())
-    cut = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), w -> w <> '')"
+    cut = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda w: w <> '')"
     return f"""
 WITH notices(name, text) AS (VALUES
   {rows}),
 t AS (SELECT name, {cut} AS w FROM notices),
-ts AS (SELECT DISTINCT name, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS s FROM t),
+ts AS (SELECT DISTINCT name, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM t),
 tn AS (SELECT name, count(*) AS n FROM ts GROUP BY name),
 d AS (SELECT doc_id, {cut} AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS s FROM d),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM d),
 hit AS (SELECT doc_id, name FROM ds JOIN ts USING (s) JOIN tn USING (name) GROUP BY doc_id, name, n HAVING 100 * count(*) >= {PERCENT} * n)
 SELECT documents.doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses
 FROM documents LEFT JOIN hit USING (doc_id) GROUP BY documents.doc_id
