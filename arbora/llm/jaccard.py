@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.batches import flat_bytes, pieces
+from arbora.llm.batches import flat_bytes, give_back, pieces
 from arbora.llm.components import components
 from arbora.llm.exchange import bucket_cuts, chunk_of, counts, pack, placed, text_bytes, unpack
 from arbora.llm.words import distinct, mix, per_text, shingles, words
@@ -59,7 +59,7 @@ def set_marks(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text
     """doc_id, n_shingles and the two hashes of the set, one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text"):
             s, bounds = _sets(batch.column("text"), k)
             a, b = _marks(s, bounds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "k1", "k2"])
@@ -80,6 +80,7 @@ def _count(sent: pa.Table) -> pa.Table:
     n = np.concatenate([np.frombuffer(r["n"], "<u2") for r in rows]).astype(np.int64)
     uniq, back = np.unique(key, return_inverse=True)
     total = np.bincount(back, n, len(uniq))
+    give_back()
     code = np.minimum(np.ceil(6 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)[back]
     ends = np.cumsum([len(r["key"]) // 5 for r in rows])
     return pa.Table.from_pylist([{"bucket": r["bucket"], "chunk": r["chunk"], "code": code[e - len(r["key"]) // 5 : e].tobytes()} for r, e in zip(rows, ends)], _ANSWER)
@@ -95,7 +96,7 @@ def shared_sets(docs: DataFrame, points: DataFrame, k: int, percent: int, doc_id
         """Ids, sets and bounds of the chunk's points, its distinct shingles in the exchange's order, and each shingle's place there."""
         want = {r["doc_id"]: (r["k1"], r["k2"]) for r in of.select(["doc_id", "k1", "k2"]).to_pylist() if r["doc_id"] is not None}
         ids, parts, sizes = [], [np.zeros(0, np.uint64)], []
-        for batch in pieces(group.select(["doc_id", "text"]).combine_chunks().to_batches(), "text", 1 << 20):
+        for batch in pieces(group.select(["doc_id", "text"]).combine_chunks().to_batches(), "text", 1 << 19):
             s, bounds = _sets(batch.column("text"), k)
             a, b = _marks(s, bounds)
             for i, d in enumerate(batch.column("doc_id").to_pylist()):
@@ -112,6 +113,7 @@ def shared_sets(docs: DataFrame, points: DataFrame, k: int, percent: int, doc_id
         _, _, _, order, back = sets(group, of)
         n = np.minimum(np.bincount(back, minlength=len(order)), 0xFFFF).astype("<u2")
         cuts = bucket_cuts(order, n_buckets)
+        give_back()
         out = [{"bucket": b, "chunk": key[0].as_py(), "key": pack(order[i:j], 5), "n": n[i:j].tobytes()} for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
         return pa.Table.from_pylist(out, _SENT)
 
@@ -122,6 +124,7 @@ def shared_sets(docs: DataFrame, points: DataFrame, k: int, percent: int, doc_id
         if len(code) != len(order):
             raise RuntimeError(f"a chunk asked about {len(order)} shingles and got {len(code)} answers")
         code = code[back]
+        give_back()
         out = []
         for i, d in enumerate(ids.tolist()):
             c, s = code[bounds[i] : bounds[i + 1]], own[bounds[i] : bounds[i + 1]]

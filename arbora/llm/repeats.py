@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.batches import flat_bytes
+from arbora.llm.batches import flat_bytes, give_back
 from arbora.llm.exchange import bucket_cuts, chunk_of, counts, pack, placed, unpack
 from arbora.llm.words import mix
 from arbora.session import table
@@ -111,6 +111,18 @@ def _array(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
+def _lean(f: Callable) -> Callable:
+    """f, after which the worker gives back what it freed."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 class Chunk:
     """The documents of one chunk, cut in pieces, and their runs."""
 
@@ -252,13 +264,23 @@ def find_repeats(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.nda
         covered[: len(c.raw)] = np.cumsum(change[:-1]) > 0
         return finish(group, raw, at, covered)
 
+    # applyInArrow looks at a function's arguments, so each wrapper names its own
+    def asked(key: tuple, group: pa.Table) -> pa.Table:
+        return _lean(ask)(key, group)
+
     def settled(group: pa.Table) -> pa.Table:
-        return settle(group, width)
+        return _lean(settle)(group, width)
+
+    def asked_windows(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+        return _lean(ask_windows)(key, group, answers)
+
+    def covered(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+        return _lean(cover)(key, group, answers)
 
     by_chunk = chunked.groupBy("chunk")
-    answers = by_chunk.applyInArrow(ask, _SENT).groupBy("bucket").applyInArrow(settled, _ANSWER)
-    more = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(ask_windows, _SENT).groupBy("bucket").applyInArrow(settled, _ANSWER)
-    return by_chunk.cogroup(answers.unionByName(more).groupBy("chunk")).applyInArrow(cover, schema)
+    answers = by_chunk.applyInArrow(asked, _SENT).groupBy("bucket").applyInArrow(settled, _ANSWER)
+    more = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(asked_windows, _SENT).groupBy("bucket").applyInArrow(settled, _ANSWER)
+    return by_chunk.cogroup(answers.unionByName(more).groupBy("chunk")).applyInArrow(covered, schema)
 
 
 def _each(raw: np.ndarray, at: np.ndarray, covered: np.ndarray):
