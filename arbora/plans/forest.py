@@ -11,17 +11,49 @@ from arbora.session import table
 
 
 def _edges(spark, d):
-    """A graph between parts and suppliers: an edge for each pair that occurs in lines of one status and flag."""
-    rows = table(spark, d, "lineitem").where("l_linestatus = 'F' and l_returnflag = 'R' and l_quantity > 47")
+    """A sliver of the graph of _all_edges, which the recursive SQL can follow: lines of one status and flag and of a quantity above 47 only."""
+    return _pairs(table(spark, d, "lineitem").where("l_linestatus = 'F' and l_returnflag = 'R' and l_quantity > 47"))
+
+
+def _all_edges(spark, d):
+    """The graph between parts and suppliers: an edge for each pair that occurs in any line."""
+    return _pairs(table(spark, d, "lineitem"))
+
+
+def _pairs(rows):
     return rows.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
 
 
+def whole_node_degrees(spark, d):
+    return T.degrees(_all_edges(spark, d))
+
+
+def whole_degree_histogram(spark, d):
+    return _histogram(_all_edges(spark, d))
+
+
+def whole_graph_components(spark, d):
+    return T.components(_all_edges(spark, d))
+
+
+def whole_component_sizes(spark, d):
+    return _sizes(_all_edges(spark, d))
+
+
+def whole_cycle_count(spark, d):
+    return _cycles(_all_edges(spark, d))
+
+
 def node_degrees(spark, d):
     return T.degrees(_edges(spark, d))
 
 
 def degree_histogram(spark, d):
-    return T.degrees(_edges(spark, d)).groupBy("degree").agg(F.count("*").alias("n_nodes"))
+    return _histogram(_edges(spark, d))
+
+
+def _histogram(edges):
+    return T.degrees(edges).groupBy("degree").agg(F.count("*").alias("n_nodes"))
 
 
 def tree_levels(spark, d):
@@ -94,14 +126,21 @@ def graph_components(spark, d):
 
 
 def component_sizes(spark, d):
-    """Components, largest first, and the share of the largest each has."""
-    n = T.components(_edges(spark, d)).groupBy("component").agg(F.count("*").alias("n_nodes"))
+    return _sizes(_edges(spark, d))
+
+
+def _sizes(edges):
+    """Components and the share of the largest each has."""
+    n = T.components(edges).groupBy("component").agg(F.count("*").alias("n_nodes"))
     top = n.agg(F.max("n_nodes").alias("top"))
     return rounded(n.crossJoin(F.broadcast(top)).select("component", "n_nodes", (F.col("n_nodes") / F.col("top")).alias("share")))  # top is one row
 
 
 def cycle_count(spark, d):
-    e = _edges(spark, d)
+    return _cycles(_edges(spark, d))
+
+
+def _cycles(e):
     c = T.components(e)
     return e.agg(F.count("*").alias("n_edges")).crossJoin(c.agg(F.count("*").alias("n_nodes"), F.countDistinct("component").alias("n_components"))).withColumn("cycles", F.col("n_edges") - F.col("n_nodes") + F.col("n_components"))  # one row each
 
@@ -139,6 +178,8 @@ o1 AS (SELECT node FROM tree),
 """ + ",\n".join(f"o{k + 1} AS (SELECT DISTINCT p.ancestor AS node FROM paths p JOIN (SELECT t.parent AS node FROM tree t JOIN o{k} USING (node) WHERE t.parent IS NOT NULL GROUP BY t.parent HAVING count(*) >= 2) f ON f.node = p.node)" for k in range(1, _ROUNDS)) + """,
 orders AS (SELECT l.node, l.depth, count(*) AS strahler FROM levels l JOIN (""" + " UNION ALL ".join(f"SELECT node FROM o{k}" for k in range(1, _ROUNDS + 1)) + """) o USING (node) GROUP BY l.node, l.depth)"""
 _GRAPH = "graph AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND l_quantity > 47)"
+# Over every line reach would grow with the square of the one large component: tests/test_forest.py holds those components against union-find.
+_ENDS = "WITH graph AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem), ends AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node)"
 _REACH = _GRAPH + """, both_ways AS (SELECT src AS u, dst AS v FROM graph UNION SELECT dst, src FROM graph),
 reach(node, seen) AS (SELECT u, u FROM both_ways UNION SELECT b.v, r.seen FROM reach r JOIN both_ways b ON b.u = r.node),
 comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
@@ -148,11 +189,13 @@ def _rec(body: str, more: str, *names: str) -> str:
     return schema.sql(body, *names, more=more, recursive=True)
 
 
-QUERIES = {f.__name__: f for f in (node_degrees, degree_histogram, tree_levels, strahler_orders, strahler_summary, ancestors, subtree_sizes, exponent_points, descent, flow_fractions, outlet_fractions, crop_walk, prune_terminals, graph_components, component_sizes, cycle_count, murray, element_pairs, nation_forest)} | {"contract_chains": contract}
+QUERIES = {f.__name__: f for f in (node_degrees, degree_histogram, tree_levels, strahler_orders, strahler_summary, ancestors, subtree_sizes, exponent_points, descent, flow_fractions, outlet_fractions, crop_walk, prune_terminals, graph_components, component_sizes, cycle_count, murray, element_pairs, nation_forest, whole_node_degrees, whole_degree_histogram, whole_graph_components, whole_component_sizes, whole_cycle_count)} | {"contract_chains": contract}
 _TIPS = _CLOSURE + ", sizes AS (SELECT ancestor AS node, count(*) AS n_nodes, sum(radius) AS radius, CAST(sum(CASE WHEN node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS tips FROM paths JOIN tree USING (node) GROUP BY 1)"
 ORACLES = {
     "node_degrees": f"WITH {_GRAPH} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node",
     "degree_histogram": f"WITH {_GRAPH} SELECT degree, count(*) AS n_nodes FROM (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node) GROUP BY degree",
+    "whole_node_degrees": f"{_ENDS} SELECT node, degree FROM ends",
+    "whole_degree_histogram": f"{_ENDS} SELECT degree, count(*) AS n_nodes FROM ends GROUP BY degree",
     "tree_levels": _rec("SELECT * FROM levels", _LEVELS, "tree"),
     "strahler_orders": _rec("SELECT * FROM orders", _STRAHLER, "tree"),
     "strahler_summary": _rec("SELECT strahler, count(*) AS n, round(avg(radius), 6) AS radius, max(depth) AS deepest FROM orders JOIN tree USING (node) GROUP BY strahler", _STRAHLER, "tree"),

@@ -1,5 +1,10 @@
 """Orders, levels and components on hand-computed trees and graphs."""
 
+from collections import Counter
+
+import duckdb
+
+from arbora import registry
 from arbora.operators import forest as T
 
 BALANCED = [(0, None), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2)]
@@ -50,3 +55,45 @@ def test_pruning_goes_on_until_nothing_is_left_to_drop(spark):
     got = T.prune_terminals(tree(spark, TWO_OF_THREE), "node in (5, 6, 2)")
     assert sorted(r.node for r in got.collect()) == [0, 1, 3, 4, 7, 8]
     assert sorted(r.node for r in T.walk_until(tree(spark, TWO_OF_THREE), "node = 2").where("not rejected").collect()) == [0, 1, 3, 4, 7, 8]
+
+
+def union_find(edges):
+    """(node, smallest node of its component)."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+def check_whole_graph(spark, d):
+    edges = duckdb.execute(f"select distinct l_partkey * 2, l_suppkey * 2 + 1 from '{d}/lineitem.parquet'").fetchall()
+    want = union_find(edges)
+    run = lambda name: registry.QUERIES[name](spark, d).collect()
+    got = run("whole_graph_components")
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    n = Counter(want.values())
+    assert {r.component: (r.n_nodes, r.share) for r in run("whole_component_sizes")} == {c: (k, round(k / max(n.values()), 6)) for c, k in n.items()}
+    assert [tuple(r.asDict()[c] for c in ("n_edges", "n_nodes", "n_components", "cycles")) for r in run("whole_cycle_count")] == [(len(edges), len(want), len(n), len(edges) - len(want) + len(n))]
+    assert {r.node: r.degree for r in run("whole_node_degrees")} == Counter(x for e in edges for x in e)
+    return n
+
+
+def test_whole_graph_has_the_edges_of_every_line(spark):
+    n = check_whole_graph(spark, "/root/testdata/sf0.01")
+    assert max(n.values()) > 2000
+
+
+def test_whole_graph_of_several_components(spark, tmp_path):
+    rows = [(i // 2, (i + 1) // 2) for i in range(40)] + [(100, 100), (101, 100), (101, 101), (100, 101), (200, 300)]
+    lines = [(a, b, "OF"[i % 2], "NAR"[i % 3], float(i % 50)) for i, (a, b) in enumerate(rows)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    assert sorted(check_whole_graph(spark, str(tmp_path)).values()) == [2, 4, 41]
