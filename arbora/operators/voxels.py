@@ -1,7 +1,9 @@
-"""Label masks as tables of runs along x: (z, y, x0, x1), half open."""
+"""Label masks as tables of runs along x: (z, y, x0, x1), half open. With keys, a table holds a mask for each of their values, apart from all others."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,40 +11,42 @@ from pyspark.sql.window import Window
 from arbora.operators.forest import components
 
 
-def encode(voxels: DataFrame, x: str = "vx", y: str = "vy", z: str = "vz") -> DataFrame:
+def encode(voxels: DataFrame, x: str = "vx", y: str = "vy", z: str = "vz", keys: Sequence[str] = ()) -> DataFrame:
     """Longest runs of distinct voxels."""
-    row = Window.partitionBy(z, y).orderBy(x)
-    marked = voxels.select(x, y, z).distinct().withColumn("g", F.col(x) - F.row_number().over(row))
-    return marked.groupBy(F.col(z).alias("z"), F.col(y).alias("y"), "g").agg(F.min(x).alias("x0"), (F.max(x) + 1).alias("x1")).drop("g")
+    row = Window.partitionBy(*keys, z, y).orderBy(x)
+    marked = voxels.select(*keys, x, y, z).distinct().withColumn("g", F.col(x) - F.row_number().over(row))
+    return marked.groupBy(*keys, F.col(z).alias("z"), F.col(y).alias("y"), "g").agg(F.min(x).alias("x0"), (F.max(x) + 1).alias("x1")).drop("g")
 
 
-def decode(runs: DataFrame) -> DataFrame:
-    return runs.select(F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"))
+def decode(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return runs.select(*keys, F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"))
 
 
-def run_links(runs: DataFrame, slack: int = 1) -> DataFrame:
-    """Pairs of runs that touch, corners included: rows at most one apart and spans that meet with slack one."""
-    key = F.struct("z", "y", "x0")
-    a = runs.select(key.alias("a"), "z", "y", "x0", "x1", F.explode(F.array(*(F.struct(F.lit(i).alias("dz"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s"))
-    a = a.select("a", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = runs.select(key.alias("b"), "z", "y", "x0", "x1")
-    return a.join(b, ["z", "y"]).where((F.col("a1") + slack > F.col("x0")) & (F.col("x1") + slack > F.col("a0"))).select("a", "b")
+def run_links(runs: DataFrame, slack: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of runs of a mask that touch, corners included: rows at most one apart and spans that meet with slack one."""
+    key = F.struct(*keys, "z", "y", "x0")
+    a = runs.select(*keys, key.alias("a"), "z", "y", "x0", "x1", F.explode(F.array(*(F.struct(F.lit(i).alias("dz"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s"))
+    a = a.select(*keys, "a", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    b = runs.select(*keys, key.alias("b"), "z", "y", "x0", "x1")
+    return a.join(b, [*keys, "z", "y"]).where((F.col("a1") + slack > F.col("x0")) & (F.col("x1") + slack > F.col("a0"))).select("a", "b")
 
 
-def label(runs: DataFrame) -> DataFrame:
-    """Add label: the first run of each 26-connected component, as the number z * 10^12 + y * 10^6 + x0."""
-    number = lambda s: F.col(f"{s}.z") * 10**12 + F.col(f"{s}.y") * 10**6 + F.col(f"{s}.x0")
-    comp = components(run_links(runs).select(number("a").alias("src"), number("b").alias("dst")))
-    own = runs.withColumn("node", F.col("z") * 10**12 + F.col("y") * 10**6 + F.col("x0"))
-    return own.join(comp, "node").drop("node").withColumnRenamed("component", "label")
+def label(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add label: the first run of each 26-connected component, as the number z * 10^12 + y * 10^6 + x0; it is a mask's own."""
+    of = lambda c: F.col(c("z")) * 10**12 + F.col(c("y")) * 10**6 + F.col(c("x0"))
+    node = lambda c: F.struct(*(F.col(c(k)).alias(k) for k in keys), of(c).alias("at")) if keys else of(c)
+    side = lambda s: node(lambda c: f"{s}.{c}")
+    comp = components(run_links(runs, keys=keys).select(side("a").alias("src"), side("b").alias("dst")))
+    own = runs.withColumn("node", node(str))
+    return own.join(comp.select("node", F.col("component.at" if keys else "component").alias("label")), "node").drop("node")
 
 
-def sizes(labelled: DataFrame) -> DataFrame:
+def sizes(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Voxels, runs and bounding box of every component."""
     box = [F.min("z").alias("z_low"), F.max("z").alias("z_high"), F.min("y").alias("y_low"), F.max("y").alias("y_high"), F.min("x0").alias("x_low"), (F.max("x1") - 1).alias("x_high")]
-    return labelled.groupBy("label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n_voxels"), F.count("*").alias("n_runs"), *box)
+    return labelled.groupBy(*keys, "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n_voxels"), F.count("*").alias("n_runs"), *box)
 
 
-def cull_small(labelled: DataFrame, min_voxels: int) -> DataFrame:
-    big = sizes(labelled).where(F.col("n_voxels") >= min_voxels).select("label")
-    return labelled.join(big, "label", "left_semi")
+def cull_small(labelled: DataFrame, min_voxels: int, keys: Sequence[str] = ()) -> DataFrame:
+    big = sizes(labelled, keys).where(F.col("n_voxels") >= min_voxels).select(*keys, "label")
+    return labelled.join(big, [*keys, "label"], "left_semi")
