@@ -136,9 +136,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id:
     soft = stash(posteriors(docs, model, priors, doc_id, text), "posteriors")
     rated, _ = fit_rates(soft.withColumn("rate", F.lit(1.0)).where("doc_id is not null and n_tokens > 0").drop("rate"), [targets[d] for d in domains], steps, ridge)
     rest = soft.where("doc_id is null or n_tokens = 0").withColumn("rate", F.lit(1.0))
-    both = rated.unionByName(rest)
+    return draws(rated.unionByName(rest))
+
+
+def draws(rated: DataFrame) -> DataFrame:
+    """Add draws: the rate's floor, and one more with the probability of the rest, by a hash of the id."""
     chance = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    return both.withColumn("draws", F.floor(F.col("rate") + chance).cast("long"))
+    return rated.withColumn("draws", F.floor(F.col("rate") + chance).cast("long"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 1. quality: base rules and the line labeller; rejected documents go (op 8).
 2. near_duplicates: five-word shingles, Jaccard similarity of 0.8 or more; of each component the document with the smallest id stays (op 10).
 3. repeats: bytes covered by a 50-byte string of a document with a smaller id are cut out; documents of which nothing is left go (op 4).
-4. mixing: rates for the target weights; documents whose rate rounds to nothing go, the others stay once (op 5).
+4. mixing: the draws of the rates for the target weights; documents without a draw go, and the others are written once, or with repeat as
+   often as they are drawn (op 5).
 5. tokens: ids of every text and how many there are (op 1).
 
 Every stage returns the columns of documents but the last, which adds its own. n_chars follows the text. Rows with a null id cannot be
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from arbora.llm import byte_bpe, jaccard, mixing, quality, repeats
 from arbora.session import ship, stash, table
 
-SHINGLE, PERCENT, KEEP_RATE = 5, 80, 0.5
+SHINGLE, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,17 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cut.withColumn("n_chars", chars).select(docs.columns)
 
 
-def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str, repeat: bool = False) -> DataFrame:
     mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
-    gone = mixed.where((F.col("rate") < KEEP_RATE) & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return drawn(docs, mixed, repeat)
+
+
+def drawn(docs: DataFrame, mixed: DataFrame, repeat: bool = False) -> DataFrame:
+    """Rows of docs of which mixed has a draw, with repeat as often as it has draws. Rows with a null id stay once."""
+    named = docs.where("doc_id is not null").join(mixed.where("doc_id is not null").select("doc_id", F.col("draws").cast("int").alias("_draws")), "doc_id").where("_draws > 0")
+    if repeat:
+        named = named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +65,11 @@ STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("re
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+def run(spark: SparkSession, sf_dir: str, repeat: bool = False) -> DataFrame:
+    """All stages over documents; with repeat a document drawn n times is in n rows."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        more = {"repeat": repeat} if stage is mixing_weights else {}
+        docs = stash(stage(spark, docs, sf_dir, **more), name)
     return STAGES[-1][1](spark, docs, sf_dir)

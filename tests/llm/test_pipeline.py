@@ -2,6 +2,7 @@
 
 import struct
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -13,9 +14,10 @@ import test_jaccard
 import test_quality_language
 import test_repeats
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arbora.llm import byte_bpe
+from arbora.llm import byte_bpe, mixing
 from arbora.session import stash
 
 D = "/root/testdata/sf0.01"
@@ -91,3 +93,25 @@ def test_tokens(stages):
 
 def test_run(spark, stages):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, D).select("doc_id").collect()) == sorted(rows(stages[4][2]))
+
+
+def test_mixing_follows_the_draws(spark):
+    """Hard posteriors of three domains: the shares of tokens after the stage are the targets, or with each document once those of min(rate, 1)."""
+    share, names, n = {"clean": 0.75, "low": 0.12, "toxic": 0.13}, ["clean", "low", "toxic"], 8000
+    dealt = [d for d in names for _ in range(round(share[d] * n))]
+    soft = spark.createDataFrame([(i, 1, 100, [float(d == x) for x in names]) for i, d in enumerate(dealt)], "doc_id long, n_rows long, n_tokens long, p array<double>")
+    rated, _ = mixing.fit_rates(soft, [mixing.TARGETS[d] for d in names])
+    mixed = mixing.draws(rated)
+    rate = {r.d: r.rate for r in rated.groupBy(F.array_position("p", 1.0).alias("d")).agg(F.first("rate").alias("rate")).collect()}
+    docs = spark.createDataFrame([*((i, d) for i, d in enumerate(dealt)), (None, "none"), (None, "none")], "doc_id long, text string")
+
+    def shares(df):
+        rows = df.collect()
+        assert sum(r.text == "none" for r in rows) == 2
+        return {d: sum(r.text == d for r in rows) / (len(rows) - 2) for d in names}, [r.doc_id for r in rows if r.text != "none"]
+
+    got, ids = shares(corpus_pipeline.drawn(docs, mixed, repeat=True))
+    assert all(abs(got[d] - w) < 0.01 for d, w in mixing.TARGETS.items()) and max(Counter(ids).values()) == 2
+    got, ids = shares(corpus_pipeline.drawn(docs, mixed))
+    once = {d: share[d] * min(rate[i + 1], 1.0) for i, d in enumerate(names)}
+    assert all(abs(got[d] - once[d] / sum(once.values())) < 0.01 for d in names) and len(ids) == len(set(ids))
