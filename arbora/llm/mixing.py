@@ -6,7 +6,7 @@ then supplies n * p[d] tokens to domain d. The rates r >= 0 minimise
     1/2 sum_d (sum_i r_i n_i p_i[d] / N - target[d])^2  +  RIDGE / 2 sum_i n_i / N (r_i - 1)^2
 
 by projected gradient with momentum: a step needs one distributed sum of D numbers and moves every document's rate by its own
-posterior, in the metric of its tokens. The ridge keeps rates near 1 where the targets leave a choice. draws is a rate made
+posterior, in the metric of its tokens. It ends after STEPS and then reports how far it is from the optimum; solve_rates goes on to the optimum. The ridge keeps rates near 1 where the targets leave a choice. draws is a rate made
 whole: its floor, and one more with the probability of the rest, decided by a hash of the id, so that the expected total is the rate's.
 
 Words are lower-cased runs of other than space; a document also has words for its share of upper case, of symbols and of distinct words. Only words
@@ -20,15 +20,19 @@ their texts together, and count as often as they occur. Other columns are not re
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.session import stash, table
 
+log = logging.getLogger(__name__)
+
 TRAIN_DOCS, MODEL_WORDS, MIN_SCORE = 3000, 20_000, 4.0
-STEPS, RIDGE = 36, 1e-3
+STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-6
 #: Weights asked of the domains of the labels table.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 
@@ -120,9 +124,64 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge:
             now = stash(now, "rates")
     reached = now.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", F.lit(d))).alias(f"s{d}") for d in range(k))).first()
     sums = [reached[f"s{d}"] or 0.0 for d in range(k)]
+    # the optimality condition: no slope where a rate is positive, none downhill where it is 0
+    slope = sum((F.get("p", F.lit(d)) * (sums[d] / total - goal[d]) for d in range(k)), F.lit(0.0)) + ridge * (F.col("rate") - 1)
+    off = now.agg(F.max(F.when(F.col("rate") > 0, F.abs(slope)).otherwise(F.greatest(-slope, F.lit(0.0))))).first()[0]
+    if off > TOLERANCE:
+        log.warning("rates after %d steps are %.2g off the optimum; shares reached %s of %s", step, off, [round(x / max(sum(sums), 1e-300), 4) for x in sums], [round(g, 4) for g in goal])
     return now.drop("ahead"), [s / max(sum(sums), 1e-300) for s in sums]
 
 
+def solve_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, list[float]]:
+    """As fit_rates, but solved to TOLERANCE or failing after steps sums, and with the ridge of a document scaled by its domains' shares of the tokens.
+
+    The optimum has r_i = max(0, 1 - p_i . m / w_i), m the numbers by which the D targets are missed and w_i the document's ridge. m minimises the dual,
+    a convex function of D variables: Newton's method with a line search, D * D numbers to the driver each step.
+    """
+    k = len(targets)
+    goal = np.array(targets) / sum(targets)
+    p = [F.get("p", F.lit(d)) for d in range(k)]
+    size = soft.agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * x).alias(f"s{d}") for d, x in enumerate(p))).first()
+    total = float(size.n or 0)
+    if not total:
+        return soft.withColumn("rate", F.lit(1.0)), [0.0] * k
+    weight = ridge * sum((x * ((size[f"s{d}"] or 0.0) / total) for d, x in enumerate(p)), F.lit(0.0))
+    rows = soft.withColumn("weight", F.when(F.col("n_tokens") > 0, weight))
+
+    def rates(miss: np.ndarray) -> Column:
+        pull = sum((x * float(miss[d]) for d, x in enumerate(p)), F.lit(0.0))
+        return F.when(F.col("n_tokens") > 0, F.greatest(1 - pull / F.col("weight"), F.lit(0.0))).otherwise(1.0)
+
+    def look(miss: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual at miss, its gradient and second derivatives, and the domains' sums."""
+        n, r = F.col("n_tokens") / total, F.col("r")
+        curve = F.when(r > 0, n / F.col("weight")).otherwise(0.0)
+        asked = [F.sum(n * F.col("weight") * r * r / 2), *(F.sum(n * x * r) for x in p), *(F.sum(curve * p[i] * p[j]) for i in range(k) for j in range(i, k))]
+        got = [x or 0.0 for x in rows.withColumn("r", rates(miss)).agg(*(a.alias(f"a{i}") for i, a in enumerate(asked))).first()]
+        second, sums = np.eye(k), np.array(got[1 : k + 1])
+        upper = np.triu_indices(k)
+        bent = np.zeros((k, k))
+        bent[upper] = got[k + 1 :]
+        second += bent + np.triu(bent, 1).T
+        return float(miss @ miss / 2 + goal @ miss + got[0]), miss + goal - sums, second, sums
+
+    miss, left = np.zeros(k), steps
+    value, slope, second, sums = look(miss)
+    while np.abs(slope).max() > TOLERANCE:
+        step, part = -np.linalg.solve(second, slope), 1.0
+        while True:
+            if not left:
+                raise RuntimeError(f"rates not found in {steps} steps: off the optimum by {np.abs(slope).max():.2g}, tolerance {TOLERANCE:g}")
+            left -= 1
+            tried = look(miss + part * step)
+            if tried[0] <= value + 1e-4 * part * float(slope @ step) + 1e-15 or np.abs(tried[1]).max() <= TOLERANCE:
+                break
+            part /= 2
+        miss = miss + part * step
+        value, slope, second, sums = tried
+    return rows.withColumn("rate", rates(miss)).drop("weight"), (sums / max(sums.sum(), 1e-300)).tolist()
+
+
 def label_domains(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Domains of the labels table: toxic, else clean or low by quality; rows without both labels say nothing."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
@@ -131,12 +190,17 @@ def label_domains(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
     """doc_id, n_rows, n_tokens, p (in order of the domains' names), rate and draws, one row an id."""
+    return mix_and_shares(docs, labelled, targets, doc_id, text, steps, ridge)[0]
+
+
+def mix_and_shares(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", steps: int = STEPS, ridge: float = RIDGE, exact: bool = False) -> tuple[DataFrame, dict[str, float]]:
+    """The table of mix, and the share of tokens each domain reaches; exact for solve_rates."""
     domains = sorted(targets)
     model, priors = learn(docs, labelled, domains, doc_id, text)
     soft = stash(posteriors(docs, model, priors, doc_id, text), "posteriors")
-    rated, _ = fit_rates(soft.withColumn("rate", F.lit(1.0)).where("doc_id is not null and n_tokens > 0").drop("rate"), [targets[d] for d in domains], steps, ridge)
+    rated, reached = (solve_rates if exact else fit_rates)(soft.withColumn("rate", F.lit(1.0)).where("doc_id is not null and n_tokens > 0").drop("rate"), [targets[d] for d in domains], steps, ridge)
     rest = soft.where("doc_id is null or n_tokens = 0").withColumn("rate", F.lit(1.0))
-    return draws(rated.unionByName(rest))
+    return draws(rated.unionByName(rest)), dict(zip(domains, reached))
 
 
 def draws(rated: DataFrame) -> DataFrame:

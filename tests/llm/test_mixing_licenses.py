@@ -90,3 +90,24 @@ def test_native_plans(spark):
     for df in (licenses.op6_license_scan(spark, D), mixing.op5_mixing(spark, D)):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_rare_domain_reaches_its_target_or_the_miss_is_reported(spark, caplog):
+    sizes = {"clean": 9800, "low": 180, "toxic": 20}
+    rows = [(i, 50, [float(d == x) for x in sizes]) for i, d in enumerate(d for d, n in sizes.items() for _ in range(n))]
+    soft = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    _, early = mixing.fit_rates(soft, [mixing.TARGETS[d] for d in sizes])
+    assert early[2] < 0.02 and "off the optimum" in caplog.text and str(round(early[2], 4)) in caplog.text
+    rated, reached = mixing.solve_rates(soft, [mixing.TARGETS[d] for d in sizes])
+    assert all(abs(a - mixing.TARGETS[d]) < 0.01 * mixing.TARGETS[d] for a, d in zip(reached, sizes))
+    rates = sorted({round(r.rate, 6) for r in rated.collect()})
+    assert len(rates) == 3 and abs(rates[-1] - 15) < 0.1
+    with pytest.raises(RuntimeError):
+        mixing.solve_rates(soft, [mixing.TARGETS[d] for d in sizes], steps=0)
+
+
+def test_reached_shares_are_returned(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), mixing.label_domains(spark.read.parquet(f"{D}/labels.parquet"))
+    made, reached = mixing.mix_and_shares(docs, labels, mixing.TARGETS)
+    sums = [sum(r.rate * r.n_tokens * r.p[i] for r in made.collect() if r.n_tokens) for i in range(3)]
+    assert list(reached) == sorted(mixing.TARGETS) and all(abs(a - s / sum(sums)) < 1e-6 for a, s in zip(reached.values(), sums))
