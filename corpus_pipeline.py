@@ -1,14 +1,14 @@
 """A corpus pipeline of five stages, each written as Parquet in the shared folder and read again by the next.
 
 1. quality: base rules and the line labeller; rejected documents go (op 8).
-2. near_duplicates: five-word shingles, Jaccard similarity of 0.8 or more; of each component the document with the smallest id stays (op 10).
+2. near_duplicates: five-word shingles, Jaccard similarity of 0.8 or more; of each component the row with the smallest id stays, null ids last (op 10).
 3. repeats: bytes covered by a 50-byte string of a document with a smaller id are cut out; documents of which nothing is left go (op 4).
 4. mixing: the draws of the rates for the target weights; documents without a draw go, and the others are written once, or with repeat as
    often as they are drawn (op 5).
 5. tokens: ids of every text and how many there are (op 1).
 
-Every stage returns the columns of documents but the last, which adds its own. n_chars follows the text. Rows with a null id cannot be
-told apart and end at the second stage; of rows that share an id the second stage keeps those of the text it counted once.
+Every stage returns the columns of documents but the last, which adds its own. n_chars follows the text. The second stage compares rows, not ids:
+a row with a null id, or with an id that others share, goes only if its text is like that of a row that stays. In the third, rows with a null id pass as they are.
 """
 
 from __future__ import annotations
@@ -28,15 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
-    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs.doc_id == kept.kept_id, "left_semi").dropDuplicates(["doc_id"])
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    found = jaccard.jaccard_components(rows.select("_row", "text"), SHINGLE, PERCENT, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    kept = rows.select("_row", rank.alias("rank")).join(found, "_row").groupBy("component_id").agg(F.min("rank").alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeats.remove_repeats(docs).where((F.col("n_removed") == 0) | (F.length("text") > 0))
+    # rows with a null id neither lose nor explain bytes; in the operator they would share a chunk
+    cut = repeats.remove_repeats(docs.where("doc_id is not null")).where((F.col("n_removed") == 0) | (F.length("text") > 0))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", chars).select(docs.columns)
+    return cut.withColumn("n_chars", chars).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str, repeat: bool = False) -> DataFrame:

@@ -115,3 +115,18 @@ def test_mixing_follows_the_draws(spark):
     got, ids = shares(corpus_pipeline.drawn(docs, mixed))
     once = {d: share[d] * min(rate[i + 1], 1.0) for i, d in enumerate(names)}
     assert all(abs(got[d] - once[d] / sum(once.values())) < 0.01 for d in names) and len(ids) == len(set(ids))
+
+
+def test_rows_go_by_likeness_only(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(80)) for w in "abc")
+    given = [(1, a), (1, b), (1, a), (None, c), (None, c + " more"), (None, a), (None, ""), (None, ""), (None, "short"), (None, "short"), (7, None), (9, c)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, D).collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (9, c), (None, ""), (None, ""), (None, "short"), (7, None)], key=repr)
+    assert corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), D).where("length(text) > 10").count() == 2
+
+
+def test_rows_with_a_null_id_pass_the_third_stage(spark):
+    docs = spark.createDataFrame([(1, "x" * 60, 60), (None, "y" * 200, 200), (None, "", 0)], "doc_id long, text string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.repeated_strings(spark, docs, D).collect()]
+    assert sorted(r[1:] for r in got if r[0] is None) == [("", 0), ("y" * 200, 200)]
