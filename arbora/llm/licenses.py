@@ -1,14 +1,18 @@
 """License scans with DataFrame expressions only.
 
 A text's words (lower case, letters and digits) give its shingles of SHINGLE words. Overlapping windows of 2 * HALF shingles, HALF apart, have a
-minimum under each of SEEDS hash functions; the minima of templates' windows (at every shingle) are the same values where the same
-shingle is smallest, so a shared minimum retrieves a template. With bands of one row each, a notice that fills a share s of a window is missed
-with a probability of (1 - s)^SEEDS: 0.3 % for two shingles of eight, less for the windows next to it and for longer notices.
-Then the share of the template's shingles that the text holds is counted exactly; from `percent` on it matches.
-
-Everything about a document is in its own row: nothing is shuffled. The templates are a parameter, a few hundred words each; their shingles
-and minima are constants of the plan. Null and empty texts match nothing. Templates with fewer words than a shingle are refused. Other columns
-are not read; repeated rows are scanned each.
+minimum under each of SEEDS hash functions (bands of one row: xxhash64 of the shingle and the band's number). Templates have theirs for windows at
+every shingle, and a minimum that a text and a template share retrieves the template. Then the share of the template's shingles that the text
+holds is counted exactly; from `percent` on it matches.
+
+A band retrieves a template when the smallest shingle of the text's window is the template's, so with n of the window's 2 * HALF shingles from the
+template all bands miss with a probability of (1 - n / (2 * HALF)) ^ SEEDS: 2e-4 for one shingle among eight others, 1e-8 for two, less for more,
+and each shingle lies in two windows. A window without any template's shingle cannot share a minimum with one, so minima are worked out only
+for the windows that hold one: this leaves nothing out.
+
+Everything about a document is in its own row: nothing is shuffled, and the plan's size does not follow the templates'. Templates are
+the rows of a table (name, text), or a dict: they are a parameter and become constants of the plan. Null and empty texts match nothing.
+Templates with fewer words than a shingle are refused. Other columns are not read; repeated rows are scanned each.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from arbora.session import table
 
-SHINGLE, HALF, SEEDS, PERCENT = 2, 4, 20, 80
-#: Notices as they are printed in files and pages.
+SHINGLE, HALF, SEEDS, PERCENT = 2, 4, 64, 80
+#: Notices as they are printed in files and pages, and the bodies of short licenses.
 NOTICES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -33,13 +37,16 @@ NOTICES = {
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
 }
 
 
 def _words(text: Column) -> Column:
     """Runs of ASCII letters, digits and anything beyond ASCII, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-/:-@\\[-`{-\\x7f]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-/:-@\\[-`{-\\x7f]+"), "")
 
 
 def _shingles(words: Column) -> Column:
@@ -48,61 +55,47 @@ def _shingles(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(SHINGLE))))
 
 
-def _seeds() -> list[int]:
-    """Fixed odd patterns that differ in their upper bits, so that another shingle is smallest under each."""
-    x, out = 0x9E3779B97F4A7C15, []
-    for _ in range(SEEDS):
-        x = (x * 0xD1342543DE82EF95 + 0xDA942042E4DD58B5) % (1 << 64)
-        out.append((x ^ x >> 29) - (1 << 64) if (x ^ x >> 29) >= 1 << 63 else x ^ x >> 29)
-    return out
+def _minima(shingles: Column, starts: Column) -> Column:
+    """The distinct minima of the windows that begin at starts, of all bands."""
 
+    def of(at: Column) -> Column:
+        window = F.slice(shingles, at + 1, 2 * HALF)
+        return F.transform(F.sequence(F.lit(1), F.lit(SEEDS)), lambda band: F.array_min(F.transform(window, lambda x: F.xxhash64(x, band))))
 
-def _least(shingles: Column, seed: int) -> Column:
-    """The shingle that is smallest under a seed."""
-    return F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(seed).cast("long"))))
+    return F.array_distinct(F.flatten(F.transform(starts, of)))
 
 
-def _minima(shingles: Column, windows: Column) -> Column:
-    """All minima of all windows. windows: array of (first shingle, number of shingles)."""
-
-    def under(seed: int) -> Column:
-        return F.transform(windows, lambda w: _least(F.slice(shingles, w["at"] + 1, w["n"]), seed))
-
-    return F.array_distinct(F.flatten(F.array(*(under(seed) for seed in _seeds()))))
-
-
-def compiled(spark: SparkSession, notices: dict[str, str]) -> list[tuple[str, list[int], list[int]]]:
+def compiled(spark: SparkSession, notices: dict[str, str] | DataFrame) -> list[tuple[str, list[int], list[int]]]:
     """Each template's name, distinct shingles and minima, worked out by the same expressions as the documents'."""
-    rows = spark.createDataFrame(sorted(notices.items()), "name string, text string").select("name", _words(F.col("text")).alias("w")).select("name", _shingles(F.col("w")).alias("s"))
-    n = F.size("s")
-    last = F.greatest(n - 2 * HALF, F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.least(n, F.lit(2 * HALF)).alias("n")))
-    out = rows.where(n > 0).select("name", F.array_distinct("s").alias("s"), _minima(F.col("s"), windows).alias("m")).collect()
-    if len(out) < len(notices):
-        raise ValueError(f"templates need {SHINGLE} words or more: {sorted(set(notices) - {r.name for r in out})}")
-    return [(r.name, list(r.s), list(r.m)) for r in sorted(out, key=lambda r: r.name)]
+    given = spark.createDataFrame(sorted(notices.items()), "name string, text string") if isinstance(notices, dict) else notices.select("name", "text")
+    rows = given.select("name", _words(F.col("text")).alias("w")).select("name", _shingles(F.col("w")).alias("s"))
+    last = F.greatest(F.size("s") - 2 * HALF, F.lit(0))
+    out = rows.select("name", "s", F.when(F.size("s") > 0, _minima(F.col("s"), F.sequence(F.lit(0), last))).alias("m")).select("name", F.array_distinct("s").alias("kinds"), "m").collect()
+    if small := sorted(r.name for r in out if not r.kinds):
+        raise ValueError(f"templates need {SHINGLE} words or more: {small}")
+    return [(r.name, list(r.kinds), list(r.m)) for r in sorted(out, key=lambda r: r.name)]
 
 
 def _longs(x: Iterable[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in x))
+    """A constant array; written as one string, so that the plan holds one constant however long it is."""
+    return F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
 
 
-def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: dict[str, str] | DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_candidates, and matches array<struct<license, n_shared, n_template>> in order of the names."""
     known = compiled(docs.sparkSession, NOTICES if notices is None else notices)
-    # words and shingles are columns of their own: inside a lambda an expression would be worked out anew for every element
+    templates = F.array(*(F.struct(F.lit(name).alias("license"), _longs(s).alias("s"), _longs(m).alias("m")) for name, s, m in known))
+    held = sorted({v for _, s, _ in known for v in s})
+    # words, shingles and places are columns of their own: inside a lambda an expression would be worked out anew for every element
     cut = docs.select(F.col(doc_id).alias("doc_id"), _words(F.col(text)).alias("w")).select("doc_id", _shingles(F.col("w")).alias("s"))
-    every = _longs(sorted({v for _, _, m in known for v in m}))
-    n = F.size("s")
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(HALF))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(2 * HALF).alias("n")))
-    hits = cut.withColumn("hits", F.array_intersect(every, _minima(F.col("s"), windows)))
-    found = [
-        F.when(F.arrays_overlap("hits", _longs(m)), F.struct(F.lit(name).alias("license"), F.size(F.array_intersect(_longs(s), F.col("s"))).cast("long").alias("n_shared"), F.lit(len(s)).cast("long").alias("n_template")))
-        for name, s, m in known
-    ]
-    near = F.when(F.size("hits") > 0, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(F.filter(F.array(*found[:1]), lambda x: F.lit(False)))
-    return hits.select("doc_id", near.alias("near")).select("doc_id", F.size("near").cast("long").alias("n_candidates"), F.filter("near", lambda x: 100 * x["n_shared"] >= percent * x["n_template"]).alias("matches"))
+    places = F.filter(F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("s", i).isin(held))
+    first = lambda p: p - p % HALF
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(first(p), F.greatest(first(p) - HALF, F.lit(0))))))
+    minima = cut.select("doc_id", "s", places.alias("at")).select("doc_id", "s", F.when(F.size("at") > 0, _minima(F.col("s"), starts)).alias("m"))
+    near = F.transform(F.filter(templates, lambda t: F.arrays_overlap(t["m"], F.col("m"))), lambda t: F.struct(t["license"].alias("license"), F.size(F.array_intersect(t["s"], F.col("s"))).cast("long").alias("n_shared"), F.size(t["s"]).cast("long").alias("n_template")))
+    none = F.array().cast("array<struct<license:string,n_shared:bigint,n_template:bigint>>")
+    found = minima.select("doc_id", F.when(F.size("m") > 0, near).otherwise(none).alias("near"))
+    return found.select("doc_id", F.size("near").cast("long").alias("n_candidates"), F.filter("near", lambda x: 100 * x["n_shared"] >= percent * x["n_template"]).alias("matches"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
