@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-Each learned language has a zstandard raw-content dictionary of at most DICT_BYTES, cut from at most SAMPLE_DOCS of its labelled documents (chosen
-by a hash of the id). A text is lower-cased and compressed whole with each; score is the margin, (second - best) / second, between 0 and 1. A margin
+Each learned language has a zstandard raw-content dictionary of at most DICT_BYTES, made of one piece of at most SAMPLE_CHARS characters of each of at
+most SAMPLE_DOCS labelled documents (chosen by a hash of the id, and each piece's place in the text by another): these bound the sample. A text is lower-cased and compressed whole with each; score is the margin, (second - best) / second, between 0 and 1. A margin
 below MIN_MARGIN sets rejected: the smallest is still named, for callers who want a guess.
 
 Null texts and texts without a letter are `und` with score 0, and rejected. With one learned language the margin is measured against
@@ -32,11 +32,16 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A dictionary for each value of lang, from a bounded sample of its usable documents."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     rows = rows if usable is None else rows.where(usable)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # at most SAMPLE_DOCS rows of a language leave a task: Spark limits each group before the exchange
-    ids = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
-    cut = F.substring(F.col(text), 1, SAMPLE_CHARS).alias("part")
-    taught = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), cut).join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.first("part").alias("part"), F.first("rank").alias("rank"))
+    rows = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # only ids below a bound that leaves some four times as many as are wanted meet in a language's window; one row a language
+    bounds = rows.groupBy("lang").agg(F.least(F.lit(1.0), (4 * sample_docs + 400) / F.approx_count_distinct("doc_id", 0.02)).alias("part"))
+    near = rows.join(F.broadcast(bounds), "lang").where(place < F.col("part") * (1 << 30))
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = near.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    cut = near.select("lang", "doc_id", F.substr("text", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
+    taught = cut.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("part").alias("part"), F.min("rank").alias("rank"))
     parts: dict[str, list] = {}
     for r in taught.collect():
         parts.setdefault(r.lang, []).append((r.rank, r.part.lower().encode()))

@@ -2,7 +2,8 @@
 
 Lines that hold a word form a sequence; a linear-chain conditional random field labels them (Viterbi), and a text is kept when the
 share of its word characters in content lines reaches CONTENT_SHARE and the base rules pass. The field is trained here, on the lines of a
-bounded sample of documents with a quality label (TRAIN_DOCS of each value, chosen by a hash of the id). Labels are of documents, so
+bounded sample of documents with a quality label (TRAIN_DOCS of each value, chosen by a hash of the id, and of a document at most
+TRAIN_RUNS runs of TRAIN_LINES lines, chosen by a hash from the whole of it). Labels are of documents, so
 lines get theirs in two rounds: first each line that of its document, in a field without transitions; then each line that field's
 own opinion where it is sure against the document, in the full field.
 
@@ -19,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.llm.batches import flat_bytes, pieces
 from arbora.llm.line_crf import LineCRF, train, viterbi
 from arbora.llm.words import mix, per_text, shingles, words
 from arbora.session import table
 
-#: Bound of the training sample: documents of each label value, and lines of each (cut into sequences of at most TRAIN_LINES).
-TRAIN_DOCS, TRAIN_LINES = 1500, 40
+#: Bounds of the training sample: documents of each label value, runs of lines of each, and lines of a run.
+TRAIN_DOCS, TRAIN_RUNS, TRAIN_LINES = 1500, 10, 40
 CONTENT_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
 
@@ -131,28 +133,36 @@ def measure(raw: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray], np.
     return base, x, chars, lines
 
 
+def chosen_runs(first: int, end: int) -> list[int]:
+    """Where the runs of lines to learn from begin: all of a document's, or TRAIN_RUNS of them, hashed by their place."""
+    starts = np.arange(first, end, TRAIN_LINES)
+    order = np.argsort(mix(np.arange(len(starts), dtype=np.uint64) + np.uint64(end - first)), kind="stable")
+    return np.sort(starts[order[:TRAIN_RUNS]]).tolist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", train_docs: int = TRAIN_DOCS) -> LineCRF | None:
     """Train the field on a bounded sample of labelled documents; None where there are not both kinds of label."""
     known = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(quality).alias("good"))
-    order = [F.xxhash64(doc_id), F.col(doc_id)]
-    chosen = known.where("good = 0").orderBy(*order).limit(train_docs).unionByName(known.where("good = 1").orderBy(*order).limit(train_docs))
-    sample = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)  # at most 2 * train_docs ids
+    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 30))
+    size = {r.good: r["count"] for r in known.groupBy("good").count().collect()}
+    # ids below a bound that leaves more than twice as many as are wanted; the smallest of those are the sample
+    few = lambda good: known.where((F.col("good") == good) & (place < int(min(1.0, (2 * train_docs + 500) / size.get(good, 1)) * (1 << 30)))).orderBy(place, doc_id).limit(train_docs)
+    chosen = few(0).unionByName(few(1))
+    sample = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).groupBy(doc_id).agg(F.min(text).alias(text), F.min("good").cast("int").alias("good"))  # at most 2 * train_docs ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             raw, at = flat_bytes(batch.column(text))
             _, x, _, lines = measure(raw, at)
-            got = [x[lines[i] : min(lines[i + 1], lines[i] + 10 * TRAIN_LINES)].astype("<f4").tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("good"), pa.array(got, pa.binary())], ["doc_id", "good", "x"])
+            got = [[x[i : min(i + TRAIN_LINES, b)].astype("<f4").tobytes() for i in chosen_runs(a, b)] for a, b in zip(lines.tolist(), lines[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("good"), pa.array(got, pa.list_(pa.binary()))], ["doc_id", "good", "x"])
 
     kind = sample.schema[doc_id].dataType.simpleString()
-    rows = sample.select(doc_id, text, F.col("good").cast("int").alias("good")).mapInArrow(run, f"doc_id {kind}, good int, x binary").collect()
-    rows = sorted(({r.doc_id: r for r in rows}).values(), key=lambda r: r.doc_id)
+    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, good int, x array<binary>").collect(), key=lambda r: r.doc_id)
     x, y, cuts = [], [], [0]
     for r in rows:
-        lines = np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float)
-        for i in range(0, len(lines), TRAIN_LINES):
-            x.append(lines[i : i + TRAIN_LINES])
+        for one in r.x:
+            x.append(np.frombuffer(one, "<f4").reshape(-1, N_FEATURES).astype(float))
             y.append(np.full(len(x[-1]), r.good))
             cuts.append(cuts[-1] + len(x[-1]))
     if not x or len({int(v[0]) for v in y}) < 2:
@@ -165,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def judge(docs: DataFrame, model: LineCRF | None, doc_id: str = "doc_id", text: str = "text", share: float = CONTENT_SHARE, keep_columns: bool = False) -> DataFrame:
-    """doc_id, the base counts, base_failed, content_share (null without words or model) and kept; with keep_columns the input's columns come first."""
+    """doc_id, the base counts, base_failed, content_share (null without words or model) and kept; with keep_columns the input's columns come first, but for those named like an output."""
     own = docs.columns if keep_columns else [doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +194,9 @@ def judge(docs: DataFrame, model: LineCRF | None, doc_id: str = "doc_id", text:
             first = {c: batch.column(c) for c in own if c not in made}
             yield pa.RecordBatch.from_arrays([*first.values(), *made.values()], [*first, *made])
 
-    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"}
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own if c not in new)
-    schema += ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+    made = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+    new = T.StructType.fromDDL(made).fields
+    schema = T.StructType([docs.schema[c] for c in own if c not in {f.name for f in new}] + new)
     return docs.select(*dict.fromkeys([*own, doc_id, text])).mapInArrow(run, schema)
 
 

@@ -14,7 +14,7 @@ all that is needed, so no group is ever gathered. Strings are told apart by at l
 
 Null and empty texts have nothing to remove. Rows with a null id neither lose nor explain a byte. Rows that share an id do not
 count as smaller than each other. Texts shorter than `size` stay whole. Only the id and text columns are used; bytes left over from
-characters cut in half are kept as bytes (`kept`), and as text they are U+FFFD.
+characters cut in half count as kept in the digests (bytes), and are left out of texts.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.llm.batches import flat_bytes, give_back
 from arbora.llm.exchange import bucket_cuts, chunk_of, counts, pack, placed, unpack
@@ -130,7 +131,7 @@ class Chunk:
         docs = docs.combine_chunks()
         known = docs.filter(pa.compute.is_valid(docs["doc_id"])).combine_chunks()
         self.size, self.n_buckets = size, n_buckets
-        self.id = known["doc_id"].to_numpy().astype(np.int64) - base
+        self.id = known["doc_id"].to_numpy().astype(np.int64).view(np.uint64) - _U(base % (1 << 64))  # distances from the smallest id, up to 2^64
         self.raw, self.at = flat_bytes(_array(known["text"]))
         block = self.at[:-1] // PIECE
         cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(self.id)] if len(self.id) else [0]
@@ -140,7 +141,7 @@ class Chunk:
             h, a, b, anchor = runs(*self.piece(i, j), size, gram)
             parts.append((a + self.at[i], b + self.at[i], placed(h.key(anchor, anchor + gram), n_buckets), h.proof(a, b)))
         self.a, self.b, self.anchor, self.segment = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        self.doc = self.id[np.searchsorted(self.at, self.a, "right") - 1] if len(self.a) else np.zeros(0, np.int64)
+        self.doc = self.id[np.searchsorted(self.at, self.a, "right") - 1] if len(self.a) else np.zeros(0, np.uint64)
 
     def piece(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         return self.raw[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i]
@@ -156,7 +157,7 @@ class Chunk:
                 p = np.repeat(self.a[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 h, q = Hashes(self.piece(i, j)[0]), p - self.at[i]
                 out.append((p, placed(h.key(q, q + self.size), self.n_buckets), h.proof(q, q + self.size), np.repeat(self.doc[mine], n)))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 class Entries:
@@ -192,7 +193,7 @@ def settle(sent: pa.Table, width: int) -> pa.Table:
     sizes = np.array([len(r["key"]) // 5 for r in rows])
     key = np.concatenate([unpack(r["key"], 5) for r in rows])
     proof = np.concatenate([unpack(r["proof"], PROOF) for r in rows])
-    doc = np.concatenate([unpack(r["doc"], width) for r in rows]).astype(np.int64)
+    doc = np.concatenate([unpack(r["doc"], width) for r in rows])
     order = np.lexsort((doc, proof, key))
     k, p, d = key[order], proof[order], doc[order]
     new_key = np.ones(len(k), bool)
@@ -224,7 +225,7 @@ def _covered(chunk: Chunk, first: Entries, code: np.ndarray) -> tuple[np.ndarray
     return whole, (own == 2) & ~whole
 
 
-def find_repeats(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def find_repeats(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str | T.StructType, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Apply finish(documents of a chunk, their bytes, where each begins and ends, which bytes are covered) to every chunk."""
     stats = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.min(doc_id).alias("lo"), F.max(doc_id).alias("hi")).first()
     base = int(stats.lo or 0)
@@ -301,17 +302,22 @@ def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """The documents with the covered bytes cut out of their texts, and n_removed. Null texts stay null; a cut inside a character leaves U+FFFD."""
+    """The documents with the covered bytes cut out of their texts, and n_removed. Null texts stay null; of a character cut in half nothing stays."""
 
     def finish(group: pa.Table, raw: np.ndarray, at: np.ndarray, covered: np.ndarray) -> pa.Table:
+        bare = [r[1] for r in _each(raw, at, covered)]
+        begins = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
+        if len(begins):
+            covered = np.repeat(np.logical_or.reduceat(covered, begins), np.diff(np.append(begins, len(raw))))
         rows = list(_each(raw, at, covered))
         given = group["text"].is_valid().to_pylist()
-        texts = [kept.decode("utf-8", "replace") if ok else None for (_, _, _, kept), ok in zip(rows, given)]
-        return pa.table({"doc_id": group["doc_id"], "text": pa.array(texts, pa.string()), "rest": group["rest"], "n_removed": pa.array([r[1] for r in rows], pa.int64())})
+        texts = [kept.decode() if ok else None for (_, _, _, kept), ok in zip(rows, given)]
+        return pa.table({"doc_id": group["doc_id"], "text": pa.array(texts, pa.string()), "rest": group["rest"], "n_removed": pa.array(bare, pa.int64())})
 
     rest = [f for f in docs.schema.fields if f.name not in (doc_id, text)]
-    inner = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in rest)}>" if rest else "int"
-    out = find_repeats(docs, finish, f"doc_id long, text string, rest {inner}, n_removed long", doc_id, text, size, gram)
+    kind = T.StructType(rest) if rest else T.IntegerType()
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rest", kind), T.StructField("n_removed", T.LongType())])
+    out = find_repeats(docs, finish, schema, doc_id, text, size, gram)
     own = {doc_id: F.col("doc_id").cast(docs.schema[doc_id].dataType), text: F.col("text")}
     columns = [own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns if c != "n_removed"]
     return out.select(*columns, "n_removed")

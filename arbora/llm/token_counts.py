@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from arbora.llm.batches import pieces, texts
 from arbora.session import table
 
-#: Words remembered by a worker; when full it starts anew. Bounds memory, not what is counted.
-CACHE_WORDS = 400_000
+#: Bytes of words remembered by a worker (with what Python needs for each); when full it starts anew. Bounds memory, not what is counted.
+CACHE_BYTES = 64 << 20
 _SPACE = re.compile(r"[ \n\t\r]+")
 _PLAIN = re.compile(r"[!-~]+")
 #: The vocabulary's own pattern on lower-case printable ASCII.
@@ -51,6 +51,7 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.t, self.whole, self.seen = Tokenizer.from_str(model), whole, {"": 0}
+        self.size = 0
         self.special = tuple({x.content[:2] for x in self.t.get_added_tokens_decoder().values()})
 
     def learn(self, words: set[str]) -> None:
@@ -72,9 +73,11 @@ class Counter:
 
     def count(self, many: list[str]) -> list[int]:
         cut = [_SPACE.sub(" ", x).split(" ") for x in many]
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {"": 0}
-        self.learn({w for words in cut for w in words} - self.seen.keys())
+        if self.size > CACHE_BYTES:
+            self.seen, self.size = {"": 0}, 0
+        new = {w for words in cut for w in words} - self.seen.keys()
+        self.size += sum(len(w) * 2 + 150 for w in new)
+        self.learn(new)
         of = self.seen.__getitem__
         return [sum(map(of, words)) for words in cut]
 

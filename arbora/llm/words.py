@@ -6,14 +6,18 @@ words and shingles; two different ones of a corpus of a billion meet with a prob
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+LONG = 4096
+#: Primes below 2^32 and a base for each.
+_FIELDS = [(4294967291, 2654435769), (4294967279, 3266489917)]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -27,10 +31,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    p = np.full(max(n, 1), _ODD[0], np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+def _powers(n: int, prime: int, base: int) -> np.ndarray:
+    p = np.ones(max(n, 1), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        p[done : done + more] = p[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return p
+
+
+_POWERS = [_powers(LONG, prime, base) for prime, base in _FIELDS]
 
 
 def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +63,12 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndar
     size = last - first
     start = np.cumsum(size) - size
     within = np.arange(len(own)) - np.repeat(start, size)
-    h = np.add.reduceat(_BYTE[own] * powers(int(size.max()))[within], start)
+    value, within = own.astype(np.uint64) + np.uint64(1), np.minimum(within, LONG - 1)
+    # LONG terms below 2^41 stay below 2^64
+    a, b = (np.add.reduceat(value * up[within], start) % np.uint64(prime) for up, (prime, _) in zip(_POWERS, _FIELDS))
+    h = a << np.uint64(32) | b
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(own[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
     return mix(h + size.astype(np.uint64) * _ODD[1]), first, last
 
 
