@@ -2,9 +2,10 @@
 
 1. quality: base rules and the line labeller; rejected documents go (op 8).
 2. near_duplicates: five-word shingles, Jaccard similarity of 0.8 or more; of each component the row with the smallest id stays, null ids last (op 10).
-3. repeats: bytes covered by a 50-byte string of a document with a smaller id are cut out; documents of which nothing is left go (op 4).
-4. mixing: the draws of the rates for the target weights; documents without a draw go, and the others are written once, or with repeat as
-   often as they are drawn (op 5).
+3. repeats: bytes covered by a 50-byte string of a document with a smaller id are cut out, with characters they cut in half; documents of
+   which nothing is left go (op 4).
+4. mixing: the draws of the rates for the target weights. By default no rate exceeds 1, so a document is drawn once or not, and the shares of the
+   tokens that stay meet the targets; with repeat rates are free and a document is written as often as it is drawn (op 5).
 5. tokens: ids of every text and how many there are (op 1).
 
 Every stage returns the columns of documents but the last, which adds its own. n_chars follows the text. The second stage compares rows, not ids:
@@ -22,37 +23,52 @@ from arbora.session import ship, stash, table
 SHINGLE, PERCENT = 5, 80
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that no stage's own columns meet a document's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("own"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep_columns=True)
-    return judged.where("kept").select(docs.columns)
+    """Documents that the rules keep. Null, empty and wordless texts fail them; repeated rows are judged each."""
+    judged = quality.judge(packed(docs), quality.fit(docs, table(spark, sf_dir, "labels")), keep_columns=True)
+    return unpacked(judged.where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
-    found = jaccard.jaccard_components(rows.select("_row", "text"), SHINGLE, PERCENT, "_row").select(F.col("doc_id").alias("_row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    kept = rows.select("_row", rank.alias("rank")).join(found, "_row").groupBy("component_id").agg(F.min("rank").alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    """One row of each component of like texts, the smallest by (null id last, id, hash of the text, row). Texts without a word all stay."""
+    rows = stash(packed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    found = jaccard.jaccard_components(rows.select("row", "text"), SHINGLE, PERCENT, "row").select(F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    kept = rows.select("row", rank.alias("rank")).join(found, "row").groupBy("component_id").agg(F.min("rank").alias("first")).select("first.row")
+    return unpacked(rows.join(kept, "row", "left_semi"), docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated strings; documents of which nothing is left go, those that had nothing (null or empty texts) stay."""
     # rows with a null id neither lose nor explain bytes; in the operator they would share a chunk
-    cut = repeats.remove_repeats(docs.where("doc_id is not null")).where((F.col("n_removed") == 0) | (F.length("text") > 0))
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", chars).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    cut = repeats.remove_repeats(packed(docs).where("doc_id is not null")).where((F.col("n_removed") == 0) | (F.length("text") > 0))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("own").getField("n_chars")) if "n_chars" in docs.columns else None
+    shown = [chars.cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in docs.columns]
+    return cut.select(*shown).unionByName(docs.where("doc_id is null"))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str, repeat: bool = False) -> DataFrame:
-    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
+    """Documents by the draws of their rates. Rows without an id or a word have rate 1 and stay."""
+    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS, most=None if repeat else 1.0)
     return drawn(docs, mixed, repeat)
 
 
 def drawn(docs: DataFrame, mixed: DataFrame, repeat: bool = False) -> DataFrame:
     """Rows of docs of which mixed has a draw, with repeat as often as it has draws. Rows with a null id stay once."""
-    named = docs.where("doc_id is not null").join(mixed.where("doc_id is not null").select("doc_id", F.col("draws").cast("int").alias("_draws")), "doc_id").where("_draws > 0")
+    named = packed(docs).join(mixed.where("doc_id is not null").select("doc_id", F.col("draws").cast("int").alias("draws")), "doc_id").where("draws > 0")
     if repeat:
-        named = named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+        named = named.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws"))))
+    return unpacked(named, docs).unionByName(docs.where("doc_id is null"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
