@@ -37,7 +37,7 @@ from arbora.session import stash, table
 
 log = logging.getLogger(__name__)
 
-TRAIN_DOCS, MIN_SCORE, MIN_LIFT, STEPS_A_CELL, RESOLUTION = 3000, 4.0, 4.0, 20, 200
+TRAIN_DOCS, MIN_SCORE, MIN_LIFT, STEPS_A_CELL, RESOLUTION = 3000, 3.0, 4.0, 20, 200
 #: Up to this many markers are broadcast (16 bytes each); beyond, words and markers are shuffled.
 BROADCAST_WORDS = 1_000_000
 STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-6
@@ -80,12 +80,13 @@ def _marked(have: DataFrame, markers: DataFrame, k: int) -> DataFrame:
 
 
 def _cells(k: int) -> list[Column]:
-    """The evidence of a marked document, as numbers of cells: how strong each domain's markers are, and its form, each within three classes of length."""
+    """The evidence of a marked document, as numbers of cells: how strong each domain's markers are and how few its words repeat, both within three classes
+    of length, and its shares of upper case and symbols."""
     n = F.greatest(F.col("n_tokens"), F.lit(1))
     long = F.when(n < 100, 0).when(n < 1000, 1).otherwise(2) * STEPS_A_CELL
-    many = [F.least(F.floor(2 * F.log2(F.col(f"m{i}") + F.lit(1.0))), F.lit(STEPS_A_CELL - 1)) for i in range(k)]
-    form = [F.floor(F.least(F.col(c) / n, F.lit(1.0)) * 10) for c in ("n_upper", "n_symbols", "n_kinds")]
-    return [(long + x).cast("int") for x in [*many, *form]]
+    many = [long + F.least(F.floor(2 * F.log2(F.col(f"m{i}") + F.lit(1.0))), F.lit(STEPS_A_CELL - 1)) for i in range(k)]
+    tenth = lambda c: F.floor(F.least(F.col(c) / n, F.lit(1.0)) * 10)
+    return [x.cast("int") for x in [*many, long + tenth("n_kinds"), tenth("n_upper"), tenth("n_symbols")]]
 
 
 class Classifier(NamedTuple):
