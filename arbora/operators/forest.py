@@ -1,15 +1,19 @@
 """Trees and graphs: degrees, components, levels, orders, closures, flow and pruning.
 
-Walks go level by level: one join of the frontier with the edges a round, each round's table through the shared folder every few rounds, so
-lineage and plans stay short whatever the depth. Nothing about nodes is held by the driver but whether a round changed anything.
+What is folded along a node's way to its root (depth, flow, rejection) takes rounds that double the way: log depth joins of one row a node. Orders
+go up level by level. Each round's table goes through the shared folder, so lineage and plans stay short. Nothing about nodes is held by
+the driver but whether a round changed anything. Nodes that reach no root (a parent that is missing, a cycle) are left out of walks; folds
+that need every node refuse a cycle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.session import stash
+from arbora.session import drop, stash
 
 
 def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -21,16 +25,27 @@ def roots(tree: DataFrame) -> DataFrame:
     return tree.where("parent is null").select("node")
 
 
+def to_root(tree: DataFrame, **folds: tuple[Column, Callable[[Column, Column], Column]]) -> DataFrame:
+    """(node, root, depth, folds...) of every node that reaches a root.
+
+    A fold is (own, both): a column of the node itself, and how that of a lower part of the way meets that of the part above it.
+    """
+    own = {k: c.alias(k) for k, (c, _) in folds.items()}
+    now = stash(tree.select("node", F.col("parent").alias("at"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *own.values()), "ways")
+    for _ in range(2 + max(now.count(), 1).bit_length()):
+        going = now.where("at is not null")
+        if going.isEmpty():
+            break
+        up = now.select(F.col("node").alias("at"), F.col("at").alias("at_"), F.col("root").alias("root_"), F.col("depth").alias("depth_"), *(F.col(k).alias(f"{k}_") for k in folds))
+        met = going.join(up, "at").select("node", F.col("at_").alias("at"), F.col("root_").alias("root"), (F.col("depth") + F.col("depth_") + 1).alias("depth"), *(f(F.col(k), F.col(f"{k}_")).alias(k) for k, (_, f) in folds.items()))
+        before, now = now, stash(met.unionByName(now.where("at is null")), "ways")
+        drop(before)
+    return now.where("at is null").drop("at")
+
+
 def levels(tree: DataFrame) -> DataFrame:
-    """Every reachable node's depth and root, from all roots at once."""
-    children = tree.where("parent is not null").select("node", "parent")
-    front = stash(roots(tree).select("node", F.lit(0).cast("long").alias("depth"), F.col("node").alias("root")), "level")
-    found = front
-    while not front.isEmpty():
-        nxt = children.join(front.select(F.col("node").alias("parent"), "depth", "root"), "parent").select("node", (F.col("depth") + 1).alias("depth"), "root")
-        front = stash(nxt, "level")
-        found = found.unionByName(front)
-    return found
+    """Every reachable node's depth and root."""
+    return to_root(tree).select("node", "depth", "root")
 
 
 def strahler(tree: DataFrame) -> DataFrame:
@@ -56,7 +71,10 @@ def closure(tree: DataFrame, start: DataFrame | None = None) -> DataFrame:
     up = tree.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("hops"))
     own = (tree if start is None else start).select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("hops"))
     paths, jump, size = own, up, 1
+    limit = 2 + max(tree.count(), 1).bit_length()
     while not jump.isEmpty():
+        if (limit := limit - 1) < 0:
+            raise ValueError("the parents go in a circle")
         further = paths.join(jump.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("hops").alias("more")), "ancestor").select("node", F.col("top").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops"))
         paths = stash(paths.unionByName(further), "closure")
         jump = stash(jump.join(jump.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("hops").alias("more")), "ancestor").select("node", F.col("top").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops")), "jumps")
@@ -81,24 +99,17 @@ def flow_split(tree: DataFrame, radius: str = "radius", power: float = 2.27) ->
     weight = F.pow(2 * F.col(radius), F.lit(power))
     per = tree.where("parent is not null").groupBy("parent").agg(F.sum(weight).alias("total"), F.count("*").alias("k"))
     share = F.when(F.col("total") > 0, weight / F.col("total")).otherwise(1 / F.col("k"))
-    own = stash(tree.join(per, "parent", "left").select("node", "parent", F.when(F.col("parent").isNull(), 1.0).otherwise(share).alias("share")), "shares")
-    front = stash(own.where("parent is null").select("node", F.lit(1.0).cast("double").alias("flow")), "flow")
-    found = front
-    while not front.isEmpty():
-        front = stash(own.join(front.select(F.col("node").alias("parent"), "flow"), "parent").select("node", (F.col("flow") * F.col("share")).alias("flow")), "flow")
-        found = found.unionByName(front)
-    return found
+    own = tree.join(per, "parent", "left").select("node", "parent", F.when(F.col("parent").isNull(), 1.0).otherwise(share).alias("share"))
+    return to_root(own, flow=(F.col("share"), lambda a, b: a * b)).select("node", "flow")
 
 
 def walk_until(tree: DataFrame, reject: str) -> DataFrame:
     """Walk down from the roots and stop at nodes where reject holds: (node, rejected) of all that the walk reaches."""
-    flagged = stash(tree.select("node", "parent", F.coalesce(F.expr(reject), F.lit(False)).alias("rejected")), "walk")
-    front = stash(flagged.where("parent is null").select("node", "rejected"), "walk")
-    found = front
-    while not front.isEmpty():
-        front = stash(flagged.join(front.where("not rejected").select(F.col("node").alias("parent")), "parent").select("node", "rejected"), "walk")
-        found = found.unionByName(front)
-    return found
+    flagged = tree.select("node", "parent", F.coalesce(F.expr(reject), F.lit(False)).alias("rejected"))
+    # what stops a node is a rejected one above it, so its own flag is kept apart from the fold
+    found = to_root(flagged, rejected=(F.col("rejected"), lambda a, b: a), any=(F.col("rejected"), lambda a, b: a | b))
+    above = found.select(F.col("node").alias("parent"), F.col("any").alias("stopped"))
+    return found.select("node", "rejected").join(tree.select("node", "parent"), "node").join(above, "parent", "left").where(~F.coalesce("stopped", F.lit(False))).select("node", "rejected")
 
 
 def prune_terminals(tree: DataFrame, thin: str, rounds: int | None = None) -> DataFrame:
@@ -120,7 +131,10 @@ def contract_chains(tree: DataFrame, length: str) -> DataFrame:
     marked = stash(tree.join(kids, "node", "left").select("node", "parent", length, ((F.col("k") == 1) & F.col("parent").isNotNull()).alias("through")).fillna(False, ["through"]), "through")
     over = marked.where("through").select(F.col("node").alias("parent"), F.col("parent").alias("above"), F.lit(1).cast("long").alias("m"), F.col(length).alias("more"))
     over = stash(over.withColumn("moved", F.lit(True)), "chains")
+    limit = 2 + max(over.count(), 1).bit_length()
     while not over.where("moved").isEmpty():  # each pass-through node takes over what the one above it reaches, so reaches double
+        if (limit := limit - 1) < 0:
+            raise ValueError("the parents go in a circle")
         nxt = over.select(F.col("parent").alias("above"), F.col("above").alias("above2"), F.col("m").alias("m2"), F.col("more").alias("more2"))
         over = stash(over.join(nxt, "above", "left").select("parent", F.coalesce("above2", "above").alias("above"), (F.col("m") + F.coalesce("m2", F.lit(0))).alias("m"), (F.col("more") + F.coalesce("more2", F.lit(0.0))).alias("more"), F.col("above2").isNotNull().alias("moved")), "chains")
     kept = marked.where("not through").select("node", "parent", F.col(length).alias("length"))

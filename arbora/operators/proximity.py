@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arbora.operators.morphometry import distance
+from arbora.session import stash
 
 AXES = ("x", "y", "z")
 
@@ -40,15 +41,24 @@ def nearest(queries: DataFrame, build: DataFrame, gate: float, keep: list[str] |
     return pairs.groupBy("q_id").agg(best.alias("m")).select("q_id", "m.*")
 
 
-def nearest_widening(queries: DataFrame, build: DataFrame, start: float, rounds: int = 8, q_id: str = "q_id", b_id: str = "b_id") -> DataFrame:
-    """Nearest without a gate: what finds nothing looks again in cells twice as large. Exact for points within start * 2^(rounds - 1)."""
-    found, rest, gate = [], queries, start
-    for _ in range(rounds):
-        got = nearest(rest, build, gate, [], q_id, b_id).select("q_id", "b_id", "d")
-        found.append(got)
-        rest = rest.join(got.select(F.col("q_id").alias(q_id)), q_id, "left_anti")
+def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: str = "q_id", b_id: str = "b_id") -> DataFrame:
+    """Nearest without a gate: what finds nothing looks again in cells twice as large, until the gate spans all points of both sides.
+
+    Points with a null or not finite coordinate take no part. What is left after a round goes through the shared folder.
+    """
+    fine = reduce(Column.__and__, (F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in AXES))
+    rest, build = queries.where(fine), build.where(fine)
+    box = rest.select(*AXES).unionByName(build.select(*AXES)).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in AXES for f in (F.min, F.max))).first()
+    span = sum((box[f"max_{c}"] - box[f"min_{c}"]) ** 2 for c in AXES) ** 0.5 if box[0] is not None else 0.0
+    found, gate = [], start
+    while True:
+        found.append(stash(nearest(rest, build, gate, [], q_id, b_id).select("q_id", "b_id", "d"), "near"))
+        if gate > span:
+            return reduce(DataFrame.unionByName, found)
+        rest = stash(rest.join(found[-1].select(F.col("q_id").alias(q_id)), q_id, "left_anti"), "far")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
         gate *= 2
-    return reduce(DataFrame.unionByName, found)
 
 
 def assign(queries: DataFrame, centres: DataFrame, radius: str, factor: float, gate: float) -> DataFrame:

@@ -32,8 +32,15 @@ def run_links(runs: DataFrame, slack: int = 1, keys: Sequence[str] = ()) -> Data
 
 
 def label(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add label: the first run of each 26-connected component, as the number z * 10^12 + y * 10^6 + x0; it is a mask's own."""
-    of = lambda c: F.col(c("z")) * 10**12 + F.col(c("y")) * 10**6 + F.col(c("x0"))
+    """Add label: the first run of each 26-connected component, as the number z * 10^12 + y * 10^6 + x0; it is a mask's own.
+
+    Where x or y are negative or reach 10^6 the number counts from their smallest values and by their spans instead, so that no two runs share it.
+    """
+    box = runs.agg(F.min("y"), F.max("y"), F.min("x0"), F.max("x0")).first()
+    low_y, top_y, low_x, top_x = (v if v is not None else 0 for v in box)
+    off_y, off_x = min(low_y, 0), min(low_x, 0)
+    span_x, span_y = max(10**6, top_x - off_x + 1), max(10**6, top_y - off_y + 1)
+    of = lambda c: (F.col(c("z")) * span_y + (F.col(c("y")) - off_y)) * span_x + F.col(c("x0")) - off_x
     node = lambda c: F.struct(*(F.col(c(k)).alias(k) for k in keys), of(c).alias("at")) if keys else of(c)
     side = lambda s: node(lambda c: f"{s}.{c}")
     comp = components(run_links(runs, keys=keys).select(side("a").alias("src"), side("b").alias("dst")))

@@ -11,11 +11,6 @@ from arbora.session import table
 
 
 def _edges(spark, d):
-    """A sliver of the graph of _all_edges, which the recursive SQL can follow: lines of one status and flag and of a quantity above 47 only."""
-    return _pairs(table(spark, d, "lineitem").where("l_linestatus = 'F' and l_returnflag = 'R' and l_quantity > 47"))
-
-
-def _all_edges(spark, d):
     """The graph between parts and suppliers: an edge for each pair that occurs in any line."""
     return _pairs(table(spark, d, "lineitem"))
 
@@ -25,23 +20,23 @@ def _pairs(rows):
 
 
 def whole_node_degrees(spark, d):
-    return T.degrees(_all_edges(spark, d))
+    return T.degrees(_edges(spark, d))
 
 
 def whole_degree_histogram(spark, d):
-    return _histogram(_all_edges(spark, d))
+    return _histogram(_edges(spark, d))
 
 
 def whole_graph_components(spark, d):
-    return T.components(_all_edges(spark, d))
+    return T.components(_edges(spark, d))
 
 
 def whole_component_sizes(spark, d):
-    return _sizes(_all_edges(spark, d))
+    return _sizes(_edges(spark, d))
 
 
 def whole_cycle_count(spark, d):
-    return _cycles(_all_edges(spark, d))
+    return _cycles(_edges(spark, d))
 
 
 def node_degrees(spark, d):
@@ -177,12 +172,13 @@ _STRAHLER = _CLOSURE + """,
 o1 AS (SELECT node FROM tree),
 """ + ",\n".join(f"o{k + 1} AS (SELECT DISTINCT p.ancestor AS node FROM paths p JOIN (SELECT t.parent AS node FROM tree t JOIN o{k} USING (node) WHERE t.parent IS NOT NULL GROUP BY t.parent HAVING count(*) >= 2) f ON f.node = p.node)" for k in range(1, _ROUNDS)) + """,
 orders AS (SELECT l.node, l.depth, count(*) AS strahler FROM levels l JOIN (""" + " UNION ALL ".join(f"SELECT node FROM o{k}" for k in range(1, _ROUNDS + 1)) + """) o USING (node) GROUP BY l.node, l.depth)"""
-_GRAPH = "graph AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND l_quantity > 47)"
-# Over every line reach would grow with the square of the one large component: tests/test_forest.py holds those components against union-find.
-_ENDS = "WITH graph AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem), ends AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node)"
-_REACH = _GRAPH + """, both_ways AS (SELECT src AS u, dst AS v FROM graph UNION SELECT dst, src FROM graph),
-reach(node, seen) AS (SELECT u, u FROM both_ways UNION SELECT b.v, r.seen FROM reach r JOIN both_ways b ON b.u = r.node),
-comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
+_GRAPH = "graph AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem)"
+_ENDS = f"WITH {_GRAPH}, ends AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node)"
+# one row a node, of which a round keeps the smallest label that a neighbour has
+SMALLEST = """both_ways AS (SELECT src AS u, dst AS v FROM graph UNION SELECT dst, src FROM graph),
+comp(node, component) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM both_ways GROUP BY u
+  UNION SELECT b.u, min(c.component) FROM comp c JOIN both_ways b ON b.v = c.node JOIN recurring.comp r ON r.node = b.u WHERE c.component < r.component GROUP BY b.u)"""
+_REACH = _GRAPH + ", " + SMALLEST
 
 
 def _rec(body: str, more: str, *names: str) -> str:
@@ -192,8 +188,8 @@ def _rec(body: str, more: str, *names: str) -> str:
 QUERIES = {f.__name__: f for f in (node_degrees, degree_histogram, tree_levels, strahler_orders, strahler_summary, ancestors, subtree_sizes, exponent_points, descent, flow_fractions, outlet_fractions, crop_walk, prune_terminals, graph_components, component_sizes, cycle_count, murray, element_pairs, nation_forest, whole_node_degrees, whole_degree_histogram, whole_graph_components, whole_component_sizes, whole_cycle_count)} | {"contract_chains": contract}
 _TIPS = _CLOSURE + ", sizes AS (SELECT ancestor AS node, count(*) AS n_nodes, sum(radius) AS radius, CAST(sum(CASE WHEN node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS tips FROM paths JOIN tree USING (node) GROUP BY 1)"
 ORACLES = {
-    "node_degrees": f"WITH {_GRAPH} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node",
-    "degree_histogram": f"WITH {_GRAPH} SELECT degree, count(*) AS n_nodes FROM (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM graph UNION ALL SELECT dst FROM graph) GROUP BY node) GROUP BY degree",
+    "node_degrees": f"{_ENDS} SELECT node, degree FROM ends",
+    "degree_histogram": f"{_ENDS} SELECT degree, count(*) AS n_nodes FROM ends GROUP BY degree",
     "whole_node_degrees": f"{_ENDS} SELECT node, degree FROM ends",
     "whole_degree_histogram": f"{_ENDS} SELECT degree, count(*) AS n_nodes FROM ends GROUP BY degree",
     "tree_levels": _rec("SELECT * FROM levels", _LEVELS, "tree"),
@@ -215,6 +211,9 @@ up(node, parent, n, length) AS (SELECT node, parent, CAST(0 AS BIGINT), radius F
     "graph_components": f"WITH RECURSIVE {_REACH} SELECT * FROM comp",
     "component_sizes": f"WITH RECURSIVE {_REACH} SELECT component, count(*) AS n_nodes, round(count(*) / max(count(*)) OVER (), 6) AS share FROM comp GROUP BY component",
     "cycle_count": f"WITH RECURSIVE {_REACH} SELECT n_edges, n_nodes, n_components, n_edges - n_nodes + n_components AS cycles FROM (SELECT count(*) AS n_edges FROM graph), (SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components FROM comp)",
+    "whole_graph_components": f"WITH RECURSIVE {_REACH} SELECT * FROM comp",
+    "whole_component_sizes": f"WITH RECURSIVE {_REACH} SELECT component, count(*) AS n_nodes, round(count(*) / max(count(*)) OVER (), 6) AS share FROM comp GROUP BY component",
+    "whole_cycle_count": f"WITH RECURSIVE {_REACH} SELECT n_edges, n_nodes, n_components, n_edges - n_nodes + n_components AS cycles FROM (SELECT count(*) AS n_edges FROM graph), (SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components FROM comp)",
     "murray": schema.sql("SELECT t.node, round(t.radius, 7) AS radius, round(t.radius ** 3, 7) AS cube_parent, count(*) AS n, round(sum(c.radius), 7) AS sum_child, round(sum(c.radius ** 3), 7) AS cube_child, round(sum(c.radius ** 3) / t.radius ** 3, 7) AS ratio FROM tree t JOIN tree c ON c.parent = t.node WHERE t.parent IS NOT NULL GROUP BY t.node, t.radius", "tree"),
     "element_pairs": _rec("SELECT node, min(edge_id) AS a, max(edge_id) AS b FROM (SELECT *, max(strahler) OVER (PARTITION BY node) AS top FROM (SELECT node AS edge_id, strahler, parent AS node FROM orders JOIN tree USING (node) WHERE parent IS NOT NULL UNION ALL SELECT node, strahler, node FROM orders JOIN tree USING (node) WHERE parent IS NOT NULL)) WHERE strahler = top GROUP BY node HAVING count(*) = 2", _STRAHLER, "tree"),
     "nation_forest": "SELECT r_regionkey AS root, CAST(0 AS BIGINT) AS depth, count(*) AS n FROM region GROUP BY 1 UNION ALL SELECT n_regionkey, 1, count(*) FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, 2, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",

@@ -9,11 +9,11 @@ from arbora.session import stash
 
 
 def _runs(spark, d):
-    return V.encode(voxels(schema.points(spark, d).where("edge_id % 101 = 0"), 1.0))
+    return V.encode(voxels(schema.points(spark, d), 1.0))
 
 
 def mask_runs(spark, d):
-    return V.encode(voxels(schema.points(spark, d).where("edge_id % 3 = 0"), 1.0))
+    return V.encode(voxels(schema.points(spark, d), 1.0))
 
 
 def mask_round_trip(spark, d):
@@ -61,11 +61,9 @@ def tree_mask_culled(spark, d):
     return V.cull_small(_labelled(spark, d), 4, TREE)
 
 
-def _vox(k: int) -> str:
-    return f"vox AS (SELECT DISTINCT CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz FROM points WHERE edge_id % {k} = 0), runs AS (SELECT vz AS z, vy AS y, min(vx) AS x0, max(vx) + 1 AS x1 FROM (SELECT *, vx - row_number() OVER (PARTITION BY vz, vy ORDER BY vx) AS g FROM vox) GROUP BY vz, vy, g)"
+_VOX = ("vox AS (SELECT DISTINCT CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz FROM points), runs AS (SELECT vz AS z, vy AS y, min(vx) AS x0, max(vx) + 1 AS x1 FROM (SELECT *, vx - row_number() OVER (PARTITION BY vz, vy ORDER BY vx) AS g FROM vox) GROUP BY vz, vy, g)")
 
-
-_LABEL = _vox(101) + """,
+_LABEL = _VOX + """,
 named AS (SELECT *, z * 1000000000000 + y * 1000000 + x0 AS node FROM runs),
 touch AS (SELECT a.node AS u, b.node AS v FROM named a JOIN named b ON abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND a.x1 + 1 > b.x0 AND b.x1 + 1 > a.x0),
 reach(node, seen) AS (SELECT node, node FROM named UNION SELECT t.v, r.seen FROM reach r JOIN touch t ON t.u = r.node),
@@ -82,8 +80,8 @@ sized AS (SELECT tree, label, CAST(sum(x1 - x0) AS BIGINT) AS n_voxels, count(*)
 
 QUERIES = {f.__name__: f for f in (mask_runs, mask_round_trip, mask_components, mask_component_sizes, mask_culled, tree_mask_runs, tree_mask_round_trip, tree_mask_components, tree_mask_component_sizes, tree_mask_culled)}
 ORACLES = {
-    "mask_runs": schema.sql("SELECT z, y, x0, x1 FROM runs", "points", more=_vox(3)),
-    "mask_round_trip": schema.sql("SELECT vx, vy, vz FROM vox", "points", more=_vox(3)),
+    "mask_runs": schema.sql("SELECT z, y, x0, x1 FROM runs", "points", more=_VOX),
+    "mask_round_trip": schema.sql("SELECT vx, vy, vz FROM vox", "points", more=_VOX),
     "mask_components": schema.sql("SELECT * FROM labelled", "points", more=_LABEL, recursive=True),
     "mask_component_sizes": schema.sql("SELECT * FROM sized", "points", more=_LABEL, recursive=True),
     "mask_culled": schema.sql("SELECT l.* FROM labelled l JOIN sized s USING (label) WHERE n_voxels >= 4", "points", more=_LABEL, recursive=True),

@@ -39,6 +39,14 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that stash() wrote, once nothing that is still to run reads it."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/arbora-" in path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _shipped: set[str] = set()
 
 

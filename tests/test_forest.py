@@ -3,6 +3,8 @@
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from arbora import registry
 from arbora.operators import forest as T
@@ -97,3 +99,72 @@ def test_whole_graph_of_several_components(spark, tmp_path):
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "written"))
     next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
     assert sorted(check_whole_graph(spark, str(tmp_path)).values()) == [2, 4, 41]
+
+
+def test_a_long_chain_is_directed_and_folded_in_few_rounds(spark):
+    import time
+
+    from arbora.operators import rooting
+
+    n = 100_000
+    chain = spark.range(n - 1).select(F.col("id").alias("edge_id"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 1).alias("src"), F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id")).alias("dst"))
+    began = time.time()
+    tree = rooting.directed(chain, spark.createDataFrame([(n - 1,)], "node long"))
+    assert tree.where("parent = node + 1").count() == n - 1 and tree.where("parent is null").collect()[0].node == n - 1
+    found = T.levels(tree)
+    assert found.where(f"depth = {n - 1} - node").count() == n and time.time() - began < 120
+
+
+def test_directed_refuses_cycles_and_leaves_out_what_no_root_reaches(spark):
+    from arbora.operators import rooting
+
+    edges = spark.createDataFrame([(0, 1, 2, 5.0), (1, 2, 3, None), (2, 7, 8, 1.0), (3, 4, 4, 1.0), (4, None, 1, 1.0)], "edge_id long, src long, dst long, radius double")
+    root = spark.createDataFrame([(3,)], "node long")
+    got = {r.edge_id: (r.src, r.dst, r.flipped, r.child, r.strahler) for r in rooting.oriented(edges, root).collect()}
+    assert got == {0: (1, 2, False, 0, 1), 1: (2, 3, False, 0, 1), 2: (7, 8, False, -1, 0), 3: (4, 4, False, -1, 0), 4: (None, 1, False, -1, 0)}
+    for bad in ([(0, 1, 2), (1, 2, 3), (2, 3, 1)], [(0, 1, 2), (1, 2, 3), (2, 3, 4), (3, 4, 2)]):
+        with pytest.raises(ValueError):
+            rooting.directed(spark.createDataFrame(bad, "edge_id long, src long, dst long"), spark.createDataFrame([(1,)], "node long"))
+    with pytest.raises(ValueError):
+        rooting.directed(edges, spark.createDataFrame([(3,), (1,)], "node long"))
+    assert rooting.directed(edges.limit(0), root).count() == 1
+
+
+def test_parents_in_a_circle(spark):
+    tree = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None), (5, 4), (6, 99)], "node long, parent long")
+    assert {r.node: r.depth for r in T.levels(tree).collect()} == {4: 0, 5: 1}
+    with pytest.raises(ValueError):
+        T.closure(tree)
+
+
+def test_nearest_finds_what_is_very_far_away(spark):
+    from arbora.operators import proximity
+
+    q = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 5000.0, 0.0, 0.0), (3, None, 0.0, 0.0), (4, float("nan"), 0.0, 0.0)], "q_id long, x double, y double, z double")
+    b = spark.createDataFrame([(7, 0.01, 0.0, 0.0), (8, -400.0, 0.0, 0.0)], "b_id long, x double, y double, z double")
+    assert sorted((r.q_id, r.b_id) for r in proximity.nearest_widening(q, b, 0.05).collect()) == [(1, 7), (2, 7)]
+    assert proximity.nearest_widening(q, b.limit(0), 0.05).count() == 0 and proximity.nearest_widening(q.limit(0), b.limit(0), 0.05).count() == 0
+
+
+def test_mask_labels_of_negative_and_large_places(spark):
+    from arbora.operators import voxels
+
+    runs = spark.createDataFrame([(0, 0, -1, 0), (0, -1, 10**6 - 1, 10**6), (0, 5, 10**6, 10**6 + 2), (0, 6, 0, 1)], "z long, y long, x0 long, x1 long")
+    assert voxels.label(runs).select("label").distinct().count() == 4
+
+
+def test_round_cones_against_sampled_balls(spark):
+    import math
+    import random
+
+    from arbora.functions import geometry
+
+    rng = random.Random(1)
+    rows = [[rng.uniform(-3, 3) for _ in range(9)] + [rng.uniform(0.1, 2), rng.uniform(0.1, 2)] for _ in range(60)]
+    names = [*(f"{p}{c}" for p in "pab" for c in "xyz"), "ra", "rb"]
+    at = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
+    got = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{n} double" for n in names)).select(*names, geometry.round_cone(at("p"), at("a"), at("b"), F.col("ra"), F.col("rb")).alias("d")).collect()
+    for r in got:
+        p, a, b = ([r[f"{k}{c}"] for c in "xyz"] for k in "pab")
+        want = min(math.dist(p, [u + t / 4000 * (v - u) for u, v in zip(a, b)]) - (r.ra + t / 4000 * (r.rb - r.ra)) for t in range(4001))
+        assert abs(r.d - want) < 1e-3
