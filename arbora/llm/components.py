@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.session import stash
+from arbora.session import drop, stash
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stash(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        before, edges = edges, stash(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        drop(before)
         last, mark = mark, _mark(edges)
         if mark == last:
             break
