@@ -14,6 +14,8 @@ a row with a null id, or with an id that others share, goes only if its text is
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +23,31 @@ from arbora.llm import byte_bpe, jaccard, mixing, quality, repeats
 from arbora.session import ship, stash, table
 
 SHINGLE, PERCENT = 5, 80
+ROW = "row number of the pipeline"
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all other columns in one, so that no stage's own columns meet a document's."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("own"))
+def packed(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, text and all other columns in one, so that no stage's own columns meet a document's; row, if named, is called row and stays apart."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", row)]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("own"), *([F.col(row).alias("row")] if row else []))
 
 
 def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """packed docs with row, a number that a row keeps however often it is read.
+
+    Of tables as Spark writes them it is the file's number and the row's place in the file; any other table is written first.
+    """
+    files = [re.match(r"part-(\d{5,7})-", f.rpartition("/")[2]) for f in docs.inputFiles()]
+    if files and all(files) and len({f[1] for f in files}) == len(files):
+        place = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
+        return packed(docs.select("*", place.alias(ROW)), ROW)
+    return stash(packed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Null, empty and wordless texts fail them; repeated rows are judged each."""
     judged = quality.judge(packed(docs), quality.fit(docs, table(spark, sf_dir, "labels")), keep_columns=True)
@@ -41,7 +56,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of like texts, the smallest by (null id last, id, hash of the text, row). Texts without a word all stay."""
-    rows = stash(packed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    rows = numbered(docs)
     found = jaccard.jaccard_components(rows.select("row", "text"), SHINGLE, PERCENT, "row").select(F.col("doc_id").alias("row"), "component_id")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
     kept = rows.select("row", rank.alias("rank")).join(found, "row").groupBy("component_id").agg(F.min("rank").alias("first")).select("first.row")
