@@ -15,7 +15,9 @@ def stats11(c: str) -> list[Column]:
     """n, mean, sd (0 for one value), sem, median, q25, q75, iqr, min, max and sum of the finite values."""
     v = finite(c)
     n, sd = F.count(v), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0)))
-    q = lambda p: F.percentile(v, F.lit(p))
+    places = [0.25, 0.5, 0.75]
+    quartiles = F.percentile(v, F.array(*map(F.lit, places)))  # asked once: Spark keeps one buffer a column
+    q = lambda p: F.get(quartiles, F.lit(places.index(p)))
     named = {"n": n, "mean": F.avg(v), "sd": sd, "sem": sd / F.sqrt(F.nullif(n, F.lit(0))), "median": q(0.5), "q25": q(0.25), "q75": q(0.75), "iqr": q(0.75) - q(0.25), "min": F.min(v), "max": F.max(v), "sum": F.sum(v)}
     return [x.alias(f"{c}_{k}") for k, x in named.items()]
 

@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: spark.checkpoint.dir, or a temporary one if none is set (tests)."""
+    """The shared scratch folder: spark.checkpoint.dir, or on one machine a temporary one if none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         if given.isDefined():
             return given.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-"))
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named
