@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Least and most bytes of text in a chunk, and keys in a bucket: they bound a task's memory. Between them both follow the corpus, so that a row
 #: of the exchange stays worth its overhead.
 CHUNK_BYTES, BUCKET_KEYS = (2 << 20, 16 << 20), (1 << 17, 1 << 20)
+MOST_PARTITIONS = 20_000
 _U = np.uint64
 
 
@@ -31,6 +32,11 @@ def counts(total_bytes: int, keys_a_byte: float) -> tuple[int, int]:
     return max(8, math.ceil(total_bytes / chunk)), max(8, math.ceil(keys / bucket))
 
 
+def dealt(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df with one partition for each of n chunks or buckets, up to MOST_PARTITIONS: tasks stay small however much there is, and beyond it take group after group."""
+    return df.repartition(min(n, MOST_PARTITIONS), column)
+
+
 def chunk_of(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 

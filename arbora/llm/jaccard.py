@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.batches import flat_bytes, give_back, pieces
 from arbora.llm.components import components
-from arbora.llm.exchange import bucket_cuts, chunk_of, counts, pack, placed, text_bytes, unpack
+from arbora.llm.exchange import bucket_cuts, chunk_of, counts, dealt, pack, placed, text_bytes, unpack
 from arbora.llm.words import distinct, mix, per_text, shingles, words
 from arbora.session import stash, table
 
@@ -134,11 +134,11 @@ def shared_sets(docs: DataFrame, points: DataFrame, k: int, percent: int, doc_id
                 out.append({"doc_id": d, "n": len(many), "own": len(many) - len(s), "shingles": s[np.lexsort((s, c))].view(np.int64)})
         return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("shingles", pa.list_(pa.int64()))]))
 
-    by_chunk = rows.groupBy("chunk")
-    sent = by_chunk.cogroup(named.groupBy("chunk")).applyInArrow(ask, "bucket int, chunk int, key binary, n binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count, "bucket int, chunk int, code binary")
+    by_chunk = dealt(rows, "chunk", n_chunks).groupBy("chunk")
+    sent = by_chunk.cogroup(dealt(named, "chunk", n_chunks).groupBy("chunk")).applyInArrow(ask, "bucket int, chunk int, key binary, n binary")
+    answers = dealt(sent, "bucket", n_buckets).groupBy("bucket").applyInArrow(_count, "bucket int, chunk int, code binary")
     with_points = answers.unionByName(named, allowMissingColumns=True)
-    return by_chunk.cogroup(with_points.groupBy("chunk")).applyInArrow(rank, "doc_id long, n int, own int, shingles array<bigint>")
+    return by_chunk.cogroup(dealt(with_points, "chunk", n_chunks).groupBy("chunk")).applyInArrow(rank, "doc_id long, n int, own int, shingles array<bigint>")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.llm.batches import flat_bytes, give_back
-from arbora.llm.exchange import bucket_cuts, chunk_of, counts, pack, placed, unpack
+from arbora.llm.exchange import bucket_cuts, chunk_of, counts, dealt, pack, placed, unpack
 from arbora.llm.words import mix
 from arbora.session import table
 
@@ -47,7 +47,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2^64."""
     have = _POW.get(which)
     if have is None or len(have[0]) < n:
-        size, out = max(n, PIECE + 1), []
+        size, out = max(n, 2 * PIECE), []
         for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -67,7 +67,17 @@ class Hashes:
             self.back.append(down)
 
     def one(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-        return (self.sums[which][b] - self.sums[which][a]) * self.back[which][a]
+        x = np.take(self.sums[which], b)
+        x -= np.take(self.sums[which], a)
+        x *= np.take(self.back[which], a)
+        return x
+
+    def grams(self, n: int) -> np.ndarray:
+        """key() of the n-byte strings at all places."""
+        sums = self.sums[0]
+        x = sums[n:] - sums[: len(sums) - n]
+        x *= self.back[0][: len(x)]
+        return mix(x)
 
     def key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(self.one(a, b))
@@ -82,9 +92,11 @@ def runs(raw: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[Hashes,
     none = np.zeros(0, np.int64)
     if len(raw) < size:
         return h, none, none, none
-    place = np.arange(len(raw) - gram + 1, dtype=np.int64)
     bits = _U(max(1, len(raw).bit_length()))
-    low = ((h.key(place, place + gram) >> bits) << bits) | place.astype(np.uint64)
+    low = h.grams(gram)
+    low >>= bits
+    low <<= bits
+    low |= np.arange(len(low), dtype=np.uint64)
     wide, span = size - gram + 1, 1
     while 2 * span <= wide:
         low = np.minimum(low[:-span], low[span:])
@@ -102,8 +114,7 @@ def runs(raw: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[Hashes,
         return h, none, none, none
     a = anchor[p]
     new = np.ones(len(p), bool)
-    new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
-    new[1:] |= np.searchsorted(at, p[1:], "right") != np.searchsorted(at, p[:-1], "right")
+    new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)  # windows of different documents are never next to each other
     first = np.flatnonzero(new)
     return h, p[first], p[np.append(first[1:], len(p)) - 1] + size, a[first]
 
@@ -278,10 +289,12 @@ def find_repeats(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.nda
     def covered(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         return _lean(cover)(key, group, answers)
 
-    by_chunk = chunked.groupBy("chunk")
-    answers = by_chunk.applyInArrow(asked, _SENT).groupBy("bucket").applyInArrow(settled, _ANSWER)
-    more = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(asked_windows, _SENT).groupBy("bucket").applyInArrow(settled, _ANSWER)
-    return by_chunk.cogroup(answers.unionByName(more).groupBy("chunk")).applyInArrow(covered, schema)
+    by_chunk = dealt(chunked, "chunk", n_chunks).groupBy("chunk")
+    to_chunks = lambda answers: dealt(answers, "chunk", n_chunks).groupBy("chunk")
+    ask_buckets = lambda sent: dealt(sent, "bucket", n_buckets).groupBy("bucket").applyInArrow(settled, _ANSWER)
+    answers = ask_buckets(by_chunk.applyInArrow(asked, _SENT))
+    more = ask_buckets(by_chunk.cogroup(to_chunks(answers)).applyInArrow(asked_windows, _SENT))
+    return by_chunk.cogroup(to_chunks(answers.unionByName(more))).applyInArrow(covered, schema)
 
 
 def _each(raw: np.ndarray, at: np.ndarray, covered: np.ndarray):
