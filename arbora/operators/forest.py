@@ -88,12 +88,6 @@ def nearest_marked(paths: DataFrame, marked: DataFrame, label: str) -> DataFrame
     return hit.groupBy("node").agg(F.min_by(F.struct(label, "hops"), "hops").alias("m")).select("node", "m.*")
 
 
-def subtree_sums(paths: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
-    """Sums over every node's subtree, itself included, and its size."""
-    rows = paths.join(values.select("node", *columns), "node")
-    return rows.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_nodes"), *(F.sum(c).alias(c) for c in columns))
-
-
 def flow_split(tree: DataFrame, radius: str = "radius", power: float = 2.27) -> DataFrame:
     """Share of the root's flow in every node: siblings share their parent's by diameter to the power; equally where all are 0."""
     weight = F.pow(2 * F.col(radius), F.lit(power))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arbora import schema
 from arbora.functions.statistics import rounded
 from arbora.operators import forest as T
+from arbora.operators.upward import subtree_sums
 from arbora.session import table
 
 
@@ -70,8 +71,8 @@ def ancestors(spark, d):
 
 def subtree_sizes(spark, d):
     t = schema.tree(spark, d)
-    leaf = t.join(t.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(1)), "node", "left").select("node", "radius", F.when(F.col("inner").isNull(), 1).otherwise(0).alias("tips"))
-    return rounded(T.subtree_sums(T.closure(t), leaf, ["radius", "tips"]))
+    leaf = t.join(t.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(1)), "node", "left").select("node", "radius", "parent", F.when(F.col("inner").isNull(), 1).otherwise(0).alias("tips"))
+    return rounded(subtree_sums(leaf, ["radius", "tips"]))
 
 
 def exponent_points(spark, d):
