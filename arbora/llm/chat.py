@@ -34,12 +34,11 @@ def unescape(text: Column) -> Column:
 
 def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv, formatted string, loss_spans array<struct<start int, length int>>."""
-    part = F.struct(
-        F.col(turn).alias("turn"),
-        F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"), F.lit("~2")).alias("role"),
-        escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-    )
-    turns = chats.select(F.col(conv).alias(conv), part.alias("part")).groupBy(conv).agg(F.array_sort(F.collect_list("part")).alias("t"))
+    # sorted as they are: escapes would change the order of ties
+    part = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    given = chats.select(F.col(conv).alias(conv), part.alias("part")).groupBy(conv).agg(F.array_sort(F.collect_list("part")).alias("t"))
+    safe = lambda x: F.struct(F.replace(escape(x["role"]), F.lit("\n"), F.lit("~2")).alias("role"), escape(x["text"]).alias("text"))
+    turns = given.select(conv, F.transform("t", safe).alias("t"))
     first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i)["role"] != F.get("t", i - 1)["role"]))
     begun = turns.withColumn("first", first)
     block = lambda i, k: F.struct(

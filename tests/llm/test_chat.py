@@ -46,3 +46,11 @@ def test_query_matches_its_oracle(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     assert r.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_ties_are_ordered_as_given(spark):
+    """Escapes turn < | and ~ into other characters; the order of a turn's ties is that of the texts and roles themselves."""
+    rows = [(1, 0, "user", t) for t in ("<|", "<}", "<z", "~", "~a", "<~1|", None)] + [(1, 0, r, "x") for r in ("a~", "a}", "a\n", "a\x0b", "<|b", "<~b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.format_chats(df).select(chat.read_chats(chat.F.col("formatted")).alias("t")).first().t
+    assert [(t.role, t.text) for t in got] == sorted((r, t or "") for _, _, r, t in rows)
