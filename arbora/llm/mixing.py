@@ -37,7 +37,7 @@ from arbora.session import stash, table
 
 log = logging.getLogger(__name__)
 
-TRAIN_DOCS, MIN_SCORE, MIN_LIFT, STEPS_A_CELL, RESOLUTION = 3000, 3.0, 4.0, 20, 200
+TRAIN_DOCS, MIN_SCORE, MIN_LIFT, STEPS_A_CELL = 3000, 3.0, 4.0, 20
 #: Up to this many markers are broadcast (16 bytes each); beyond, words and markers are shuffled.
 BROADCAST_WORDS = 1_000_000
 STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-6
@@ -155,7 +155,7 @@ def _weights(cells: list, n: list[int], k: int) -> list[list[list[float]]]:
 
 
 def posteriors(docs: DataFrame, model: Classifier, priors: list[float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_rows, n_tokens and p, the posterior of each domain in steps of 1 / RESOLUTION, one row an id."""
+    """doc_id, n_rows, n_tokens and p, the posterior of each domain, one row an id."""
     k = len(priors)
     found = _marked(features(docs, doc_id, text), model.markers, k)
     constant = lambda rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
@@ -163,12 +163,7 @@ def posteriors(docs: DataFrame, model: Classifier, priors: list[float], doc_id:
     known = found.select("doc_id", "n_rows", "n_tokens", F.array(*told).alias("told"))
     odds = F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(priors))), lambda d: d["x"] + F.aggregate("told", F.lit(0.0), lambda a, t: a + F.when(F.col("n_tokens") > 0, F.get(t, d["i"])).otherwise(0.0)))
     raised = known.select("doc_id", "n_rows", "n_tokens", odds.alias("o")).select("doc_id", "n_rows", "n_tokens", F.transform("o", lambda x: F.exp(x - F.array_max("o"))).alias("e"))
-    units = F.transform("e", lambda x: F.floor(x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y) * RESOLUTION + 1e-9))
-    cut = raised.select("doc_id", "n_rows", "n_tokens", units.alias("u"))
-    # what rounding down leaves goes to the likeliest, the first of several
-    rest = RESOLUTION - F.aggregate("u", F.lit(0).cast("long"), lambda a, x: a + x)
-    top = F.array_position("u", F.array_max("u")) - 1
-    return cut.select("doc_id", "n_rows", "n_tokens", rest.alias("rest"), top.alias("top"), "u").select("doc_id", "n_rows", "n_tokens", F.transform("u", lambda x, i: (x + F.when(i == F.col("top"), F.col("rest")).otherwise(0)) / float(RESOLUTION)).alias("p"))
+    return raised.select("doc_id", "n_rows", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
 def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, list[float]]:
@@ -256,8 +251,8 @@ def solve_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, ridge
 def descend_rates(soft: DataFrame, targets: list[float], most: float | None = None, steps: int = DESCENT_STEPS, ridge: float = PULL, tolerance: float = SLOPE) -> tuple[DataFrame, list[float]]:
     """Add rate to a table of (doc_id, n_tokens, p) by projected gradient with momentum, to a tolerance; the shares reached.
 
-    Documents of equal posteriors have equal rates, so the steps run over one row a posterior: at RESOLUTION 200 at most 20,301 for three domains,
-    whatever the corpus. Misses are counted by their targets (a rare domain's as much as a frequent one's), which also sets the step's length. With
+    Documents of equal posteriors have equal rates, so the steps run over one row for each posterior that occurs: as many as there are combinations of
+    cells of evidence in the corpus. Misses are counted by their targets (a rare domain's as much as a frequent one's), which also sets the step's length. With
     `most` no rate exceeds it; then the domain with the largest target is kept as whole as that allows, others follow in proportion, and one that
     has too little is kept whole and falls short. Momentum starts anew where a step turned back.
     """
