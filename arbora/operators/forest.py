@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from arbora.session import drop, stash
 
+LEVELS = 20
 
 def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Number of edge ends at every node; an edge from a node to itself counts twice."""
@@ -49,9 +50,16 @@ def levels(tree: DataFrame) -> DataFrame:
 
 
 def strahler(tree: DataFrame) -> DataFrame:
-    """Order of every reachable node: 1 without children, else the largest of its children's, one more if two share it. Deepest level first."""
+    """Order of every reachable node: 1 without children, else the largest of its children's, one more if two share it. Deepest level first, a job a level.
+
+    Trees of more than LEVELS levels are folded in log rounds instead (upward.py).
+    """
     deep = stash(levels(tree).join(tree.select("node", "parent"), "node"), "levels")
     last = deep.agg(F.max("depth")).first()[0]
+    if last is not None and last > LEVELS:
+        from arbora.operators import upward  # it builds on this module
+
+        return upward.strahler(tree)
     done = below = None
     for depth in range(last if last is not None else -1, -1, -1):
         here = deep.where(F.col("depth") == depth).select("node", "parent", "depth")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.plans import edits, forest, joins, morphometry, rooting, scalars, spans, upward, voxels
+from arbora.plans import chains, edits, forest, joins, morphometry, rooting, scalars, spans, upward, voxels
 
 FLAGSHIP = "order_statistics"
-MODULES = [morphometry, spans, joins, forest, edits, voxels, scalars, rooting, upward]
+MODULES = [morphometry, spans, joins, forest, edits, voxels, scalars, rooting, upward, chains]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
