@@ -10,8 +10,8 @@ template all bands miss with a probability of (1 - n / (2 * HALF)) ^ SEEDS: 2e-4
 and each shingle lies in two windows. A window without any template's shingle cannot share a minimum with one, so minima are worked out only
 for the windows that hold one: this leaves nothing out.
 
-Everything about a document is in its own row: nothing is shuffled, and the plan's size does not follow the templates'. Templates are
-the rows of a table (name, text), or a dict: they are a parameter and become constants of the plan. Null and empty texts match nothing.
+Everything about a document is in its own row: nothing is shuffled. Templates are the rows of a table (name, text), or a dict: they are a
+parameter and become constants of the plan, whose size follows theirs (about 70 KB a template of 200 words), so hundreds of them are too many. Null and empty texts match nothing.
 Templates with fewer words than a shingle are refused. Other columns are not read; repeated rows are scanned each.
 """
 

@@ -1,13 +1,13 @@
 """Repeated strings: bytes covered by a string of `size` bytes that also starts in a document with a smaller id.
 
-Every window of `size` bytes is a suffix ordered by its first `size` bytes only, most significant digits first, in three passes; a pass
-drops what stands alone, and after the last one equal groups are exactly the repeated windows:
-
-1. The first digit of a window is its anchor: its smallest hashed GRAM-byte string. Neighbouring windows share it, so a run of them is one
-   entry. Runs whose anchor no other document has are dropped.
-2. The second digit is the run's whole segment. A segment that a smaller document has too is removed whole; one that is its document's own or the
-   first is settled too, unless other segments with its anchor come from other documents.
-3. Only of those first occurrences each window is ordered by all its bytes.
+Nothing is sorted by its bytes: windows of `size` bytes are grouped by hashes of what equal windows share, in three passes; a pass drops what stands alone,
+and after the last one equal groups are exactly the repeated windows:
+
+1. By anchor, the window's smallest hashed GRAM-byte string. Neighbouring windows share it, so a run of them is one entry. Runs whose anchor no
+   other document has are dropped.
+2. By the run's whole segment. A segment that a smaller document has too is removed whole; one that is its document's own or the first is
+   settled too, unless other segments with its anchor come from other documents.
+3. Only of those first occurrences, each window by all its bytes.
 
 Each pass sends packed distinct keys to buckets and gets one answer a key back (see exchange.py): the smallest document wins, which is
 all that is needed, so no group is ever gathered. Strings are told apart by at least 80 bits of two independent hashes.
