@@ -51,7 +51,7 @@ def score_terms(spark, d):
 
 
 def sidecar_fields(spark, d):
-    """Fields of the JSON documents of events, read with a schema; documents that do not fit are counted."""
+    """Fields of the JSON documents of events, read with a schema; documents that do not fit count as none."""
     rows = table(spark, d, "events").select("event_type", F.from_json("props", "k bigint").alias("j"))
     return rounded(rows.groupBy("event_type").agg(F.count("j.k").alias("n"), F.sum("j.k").alias("total"), F.max("j.k").alias("largest")))
 

@@ -63,7 +63,7 @@ def coincident_pairs(spark, d):
 
 
 def endpoint_proposals(spark, d):
-    """Ends of different trees that face each other: best target of every end by distance, with the first gate each pair fails counted."""
+    """Points of one half that see one of the other within the gates: the best target of each by distance; directions are those from the origin."""
     q, b = _sides(spark, d)
     r = lambda df: df.withColumn("r", F.abs("value") + 0.01)
     pairs = P.within(r(q), r(b), 0.12, ["r"])
@@ -86,7 +86,7 @@ def voxel_overlap(spark, d):
 
 
 def line_voxels(spark, d):
-    """Cells of every segment's digital lines, counted, and the share that other segments of its half pass too."""
+    """How many cells every segment's digital lines pass."""
     p = with_steps(schema.points(spark, d))
     from arbora.operators.morphometry import along
 
