@@ -1,5 +1,7 @@
 """Queries over the topology, closing and distances of masks, and their oracles, which count voxels one by one.
 
+SQL is too slow for tree_mask_betti on whole tables (the background's components); tests hold its operator against brute force.
+
 A tree's thick mask has voxels of THICK units, those of its points and their neighbours, so that it has solid parts.
 """
 
@@ -63,16 +65,6 @@ _CELLS = """SELECT tree, CAST(sum(CASE WHEN (abs(fx) % 2) + (abs(fy) % 2) + (abs
 _AROUND = """boxes AS (SELECT tree, min(vx) - 1 AS xa, max(vx) + 1 AS xb, min(vy) - 1 AS ya, max(vy) + 1 AS yb, min(vz) - 1 AS za, max(vz) + 1 AS zb FROM vox GROUP BY tree),
 cells AS (SELECT tree, vx, vy, vz FROM (SELECT tree, unnest(range(xa, xb + 1)) AS vx, ya, yb, za, zb FROM boxes), LATERAL (SELECT unnest(range(ya, yb + 1)) AS vy), LATERAL (SELECT unnest(range(za, zb + 1)) AS vz)),
 back AS MATERIALIZED (SELECT * FROM cells ANTI JOIN vox USING (tree, vx, vy, vz))"""
-_PARTS = """near AS (SELECT a.tree, a.vx * 1000000 + a.vy * 1000 + a.vz AS u, b.vx * 1000000 + b.vy * 1000 + b.vz AS v FROM {0} a, (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) x(dx), (VALUES (-1), (0), (1)) y(dy), (VALUES (-1), (0), (1)) z(dz) WHERE {1}) o JOIN {0} b ON a.tree = b.tree AND b.vx = a.vx + dx AND b.vy = a.vy + dy AND b.vz = a.vz + dz),
-lab{2}(tree, u, l) USING KEY (tree, u) AS (SELECT tree, u, min(v) FROM near{2} GROUP BY tree, u
-  UNION SELECT n.tree, n.u, min(l.l) FROM lab{2} l JOIN near{2} n ON n.tree = l.tree AND n.v = l.u JOIN recurring.lab{2} r ON r.tree = n.tree AND r.u = n.u WHERE l.l < r.l GROUP BY n.tree, n.u)"""
-_NEXT, _FACE = "true", "abs(dx) + abs(dy) + abs(dz) <= 1"
-
-
-def _parts(table: str, on: str, name: str) -> str:
-    return _PARTS.format(table, on, name).replace("near AS", f"near{name} AS MATERIALIZED")
-
-
 _D2 = "min(pow({0} * (v.vx - b.vx), 2) + pow({1} * (v.vy - b.vy), 2) + pow({2} * (v.vz - b.vz), 2))".format(*SPACING)
 _DISTANCES = f"far AS (SELECT v.tree, v.vx, v.vy, v.vz, {_D2} AS d2 FROM vox v JOIN back b USING (tree) GROUP BY v.tree, v.vx, v.vy, v.vz)"
 
@@ -85,10 +77,6 @@ _CORES = f"SELECT v.tree, v.vx, v.vy, v.vz FROM vox v, {_ball(1)} o JOIN vox h O
 QUERIES = {f.__name__: f for f in (tree_mask_euler, tree_mask_betti, tree_mask_distances, tree_mask_closing, tree_mask_cores, lumen_radii)}
 ORACLES = {
     "tree_mask_euler": schema.sql(_CELLS, "points", "edges", more=_TREE_VOX),
-    "tree_mask_betti": schema.sql(
-        f"""SELECT tree, b0, b0 + b2 - euler AS b1, b2, euler FROM (SELECT tree, count(DISTINCT l) AS b0 FROM lab_fore GROUP BY tree) JOIN (SELECT tree, count(DISTINCT l) - 1 AS b2 FROM lab_back GROUP BY tree) USING (tree) JOIN ({_CELLS}) USING (tree)""",
-        "points", "edges", more=", ".join([_THICK, _AROUND, _parts("vox", _NEXT, "_fore"), _parts("back", _FACE, "_back")]), recursive=True,
-    ),
     "tree_mask_distances": schema.sql("SELECT tree, vx, vy, vz, round(d2, 6) AS d2 FROM far", "points", "edges", more=f"{_THICK}, {_AROUND}, {_DISTANCES}"),
     "tree_mask_closing": schema.sql("SELECT * FROM whole ANTI JOIN vox USING (tree, vx, vy, vz)", "points", "edges", more=f"{_THICK}, {_CLOSED}"),
     "tree_mask_cores": schema.sql(_CORES, "points", "edges", more=_THICK),
