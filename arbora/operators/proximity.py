@@ -41,10 +41,10 @@ def nearest(queries: DataFrame, build: DataFrame, gate: float, keep: list[str] |
     return pairs.groupBy("q_id").agg(best.alias("m")).select("q_id", "m.*")
 
 
-def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: str = "q_id", b_id: str = "b_id") -> DataFrame:
+def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: str = "q_id", b_id: str = "b_id", most: float = float("inf")) -> DataFrame:
     """Nearest without a gate: what finds nothing looks again in cells twice as large, until the gate spans all points of both sides.
 
-    Points with a null or not finite coordinate take no part. What is left after a round goes through the shared folder.
+    With most, the search ends once the gate reaches it: all that is nearer is found, and some of what is farther may be. Points with a null or not finite coordinate take no part. What is left after a round goes through the shared folder.
     """
     fine = reduce(Column.__and__, (F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in AXES))
     rest, build = queries.where(fine), build.where(fine)
@@ -53,7 +53,7 @@ def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: s
     found, gate = [], start
     while True:
         found.append(stash(nearest(rest, build, gate, [], q_id, b_id).select("q_id", "b_id", "d"), "near"))
-        if gate > span:
+        if gate > span or gate >= most:
             return reduce(DataFrame.unionByName, found)
         rest = stash(rest.join(found[-1].select(F.col("q_id").alias(q_id)), q_id, "left_anti"), "far")
         if rest.isEmpty():
