@@ -61,6 +61,26 @@ def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: s
         gate *= 2
 
 
+def in_spheres(nodes: DataFrame, anchors: DataFrame, reach: Column, *keep: str) -> DataFrame:
+    """(anchor_id, node_id, anchors' columns, kept columns as node_*, d) of nodes within an anchor's own reach.
+
+    Anchors of one power of two look in cells of that size, so wide ones don't widen the cells of the rest; a node is sent once a size that occurs. Reaches that are
+    null, negative or not finite find nothing.
+    """
+    # reaches below 2^-30 share the smallest cells
+    sized = anchors.withColumn("reach", reach).where((F.col("reach") >= 0) & (F.col("reach") < float("inf")))
+    sized = sized.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest("reach", F.lit(2.0**-30)))), F.lit(-30)))
+    levels = F.lit(sorted(r.level for r in sized.select("level").distinct().collect())).cast("array<bigint>")  # powers of two, at most 1,100
+    cell = lambda c, i=0: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))) + i
+    looks = sized
+    for c in AXES:
+        looks = looks.withColumn(f"k{c}", F.explode(F.array(*(cell(c, i) for i in (-1, 0, 1)))))
+    there = nodes.select("node_id", *(F.col(c).alias(f"node_{c}") for c in (*AXES, *keep))).withColumn("level", F.explode(levels)).withColumns({f"k{c}": cell(f"node_{c}") for c in AXES})
+    pairs = looks.join(there, ["level", *(f"k{c}" for c in AXES)])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"node_{c}")) ** 2 for c in AXES), F.lit(0.0)))
+    return pairs.withColumn("d", d).where("d <= reach").drop("level", *(f"k{c}" for c in AXES))
+
+
 def assign(queries: DataFrame, centres: DataFrame, radius: str, factor: float, gate: float) -> DataFrame:
     """Owner of every query point: the nearest centre, if the point lies within factor times that centre's own radius, else -1."""
     near = nearest(queries, centres, gate, [radius])
