@@ -39,12 +39,13 @@ def test_densify_is_linear_interpolation(spark):
 def test_taper_goes_on_through_a_collapse(spark):
     r = [10 * math.exp(-0.02 * i) for i in range(30)]
     broken = [0.5 if 12 <= i <= 16 or i >= 27 else v for i, v in enumerate(r)]
-    points = spark.createDataFrame([(1, i, float(i), 0.0, 0.0, v) for i, v in enumerate(broken)] + [(2, i, float(i), 0.0, 0.0, 1.0) for i in range(4)], POINTS)
+    rows = [(1, i, float(i), 0.0, 0.0, v, v != r[i]) for i, v in enumerate(broken)] + [(2, i, float(i), 0.0, 0.0, 1.0, None) for i in range(4)]
+    points = spark.createDataFrame(rows, POINTS + ", bad boolean")
     spans = spark.createDataFrame([(1, 12, 16), (1, 27, 99), (2, 1, 2), (7, 0, 3), (1, 5, 4)], "edge_id long, i0 long, i1 long")
-    filled, told = repair.taper_fill(points, spans, 5, 40, 1.0)
+    filled, told = repair.taper_fill(points, spans, 5, 40, 1.0, exclude="bad")
     got = {(p.edge_id, p.pos): p for p in filled.collect()}
-    assert all(abs(got[1, i].r - r[i]) < 0.2 for i in range(12, 17)) and abs(got[1, 11].r - r[11]) < 1e-12
-    assert got[1, 28].told and got[1, 28].r > 5 and got[2, 1].r == 1.0 and not got[2, 1].told
+    assert all(abs(got[1, i].r - r[i]) < 1e-9 for i in (*range(12, 17), 27, 28, 29)) and abs(got[1, 11].r - r[11]) < 1e-12
+    assert got[1, 28].told and got[2, 1].r == 1.0 and not got[2, 1].told
     assert sorted((t.edge_id, t.i0, t.i1, t.sides) for t in told.collect()) == [(1, 12, 16, "both"), (1, 27, 29, "proximal"), (2, 1, 2, None)]
 
 
