@@ -168,3 +168,34 @@ def test_round_cones_against_sampled_balls(spark):
         p, a, b = ([r[f"{k}{c}"] for c in "xyz"] for k in "pab")
         want = min(math.dist(p, [u + t / 4000 * (v - u) for u, v in zip(a, b)]) - (r.ra + t / 4000 * (r.rb - r.ra)) for t in range(4001))
         assert abs(r.d - want) < 1e-3
+
+
+def test_nearest_of_crowds_against_all_pairs(spark):
+    import random
+
+    from arbora.operators import proximity
+
+    random.seed(4)
+    # one crowd far smaller than the gate, copies in one place, some points apart and on both sides of 0
+    spot = lambda k: [round(random.gauss(0, 1e-3 if k % 3 else 2.0), 6) for _ in range(3)]
+    b = [(k, *spot(k)) for k in range(600)]
+    b += [(k + 1000, *b[k][1:]) for k in range(200)] + [(k + 2000, 0.5, 0.5, 0.5) for k in range(1500)]
+    q = [(k, *spot(k)) for k in range(300)] + [(k + 500, 0.5, 0.5, 0.5) for k in range(50)] + [(900, 40.0, -40.0, 0.0)]
+    far = lambda p, r: round(sum((x - y) ** 2 for x, y in zip(p[1:], r[1:])) ** 0.5, 9)
+    want = {p[0]: min((far(p, r), r[0]) for r in b) for p in q}
+    qs, bs = spark.createDataFrame(q, "q_id long, x double, y double, z double"), spark.createDataFrame(b, "b_id long, x double, y double, z double")
+    got = {r.q_id: (round(r.d, 9), r.b_id) for r in proximity.nearest_widening(qs, bs, 1.0).collect()}
+    assert got == want
+    gated = {r.q_id: (round(r.d, 9), r.b_id) for r in proximity.nearest(qs, bs, 0.3).collect()}
+    assert gated == {k: v for k, v in want.items() if v[0] <= 0.3}
+
+
+def test_crowded_cells_are_split(spark):
+    from pyspark.sql import functions as F
+
+    from arbora.operators import proximity
+
+    places = spark.range(20000).select(*((F.rand(i) / 100).alias(c) for i, c in enumerate("xyz")))
+    cell = lambda c, size: F.floor(F.col(c) / size).alias(f"k{c}")
+    size = proximity._uncrowded(places, 1.0, 2.0, cell)
+    assert places.groupBy(*(cell(c, size) for c in "xyz")).count().agg(F.max("count")).first()[0] < 200
