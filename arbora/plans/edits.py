@@ -20,9 +20,11 @@ def split_segments(spark, d):
 
 def weld_nodes(spark, d):
     """Suppliers of one nation are one node: edges between parts and nations, without doubles."""
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
-    s = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("node"), (F.col("s_nationkey") + 2000000).cast("long").alias("keep"))
-    return E.weld(e, s).groupBy("src", "dst").agg(F.count("*").alias("n_edges"))
+    # parts are even and all others odd, so that no part has the number of a supplier or nation, however many there are
+    odd = lambda c: c.cast("long") * 2 + 1
+    e = table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("src"), odd(F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    s = table(spark, d, "supplier").select(odd(F.col("s_suppkey") + 1000000).alias("node"), odd(F.col("s_nationkey") + 2000000).alias("keep"))
+    return E.weld(e, s).groupBy(F.shiftright("src", 1).alias("src"), F.shiftright("dst", 1).alias("dst")).agg(F.count("*").alias("n_edges"))
 
 
 def renumbered(spark, d):

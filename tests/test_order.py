@@ -18,6 +18,17 @@ def test_windows_over_the_same_rows_have_the_same_mean(spark):
     assert all(again[k] == (alone[k], 0, 0) for k in alone)
 
 
+def test_welded_suppliers_are_not_parts_of_the_same_number(spark, tmp_path):
+    from arbora.plans import edits
+
+    d = str(tmp_path)
+    lines = [(1000003, 3), (1000003, 4), (2000001, 3), (5, 3), (2000007, 4)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(3, 7), (4, 7)], "s_suppkey long, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+    got = sorted((r.src, r.dst, r.n_edges) for r in edits.weld_nodes(spark, d).collect())
+    assert got == [(5, 2000007, 1), (1000003, 2000007, 2), (2000001, 2000007, 1), (2000007, 2000007, 1)]
+
+
 def test_runs_of_equal_spans_are_one(spark):
     from arbora.operators import spans
 
