@@ -88,7 +88,7 @@ def tidy_states(spark, d):
 
 def outlet_resistances(spark, d):
     seg = _labelled(spark, d)
-    shares = seg.withColumn("fraction", F.col("volume") / F.sum("volume").over(M.Window.partitionBy("tree"))).where("fraction > 0")
+    shares = seg.withColumn("fraction", F.col("volume") / F.nullif(F.sum("volume").over(M.Window.partitionBy("tree")), F.lit(0.0))).where("fraction > 0")
     return rounded(M.outlet_resistances(shares, "tree", "fraction", 1.5, 90.0).select("edge_id", "tree", "fraction", "resistance", "parallel"), 4)
 
 

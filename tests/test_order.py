@@ -35,3 +35,14 @@ def test_runs_of_equal_spans_are_one(spark):
     both = spark.createDataFrame([(k, 0, 0) for k in range(50)] * 2 + [(k, 2, 3) for k in range(50)], "e long, i0 long, i1 long")
     got = spans.merge_runs(both, "e").groupBy("i0", "i1", "n_spans").agg(F.count("*").alias("n")).collect()
     assert sorted(tuple(r) for r in got) == [(0, 0, 2, 50), (2, 3, 1, 50)]
+
+
+def test_outlets_of_a_tree_without_volume(spark, tmp_path):
+    from arbora.plans import morphometry
+
+    d = str(tmp_path)
+    lines = [(1, 1, 100.0, 1, 1, 5.0, 0.01, 0.02), (2, 1, 100.0, 1, 1, 5.0, 0.01, 0.02), (2, 2, 100.0, 1, 1, 9.0, 0.01, 0.02)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, "O", "1-URGENT"), (2, 8, "F", "2-HIGH")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    got = morphometry.outlet_resistances(spark, d).collect()
+    assert [(r.edge_id, r.tree, r.fraction, r.resistance) for r in got] == [(2, 8, 1.0, 60.0)]
