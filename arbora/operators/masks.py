@@ -178,5 +178,6 @@ def squared_distances(runs: DataFrame, spacing: tuple[float, float, float] = (1.
 
 def radii_at(places: DataFrame, runs: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), keys: Sequence[str] = ()) -> DataFrame:
     """places (keys, vx, vy, vz, ...) with radius, the distance from their voxel to the background of their mask; 0 outside it."""
-    at = squared_distances(runs, spacing, keys)
+    # runs are small on disk and unfold to many voxels, which Spark would gather in the driver as the small side
+    at = squared_distances(runs, spacing, keys).hint("merge")
     return places.join(at, [*keys, "vx", "vy", "vz"], "left").withColumn("radius", F.sqrt(F.coalesce("d2", F.lit(0.0)))).drop("d2")

@@ -129,3 +129,13 @@ def test_radii_at(spark, runs):
 def test_empty(runs):
     none = runs.limit(0)
     assert masks.betti(none, ["m"]).count() == masks.closing_additions(none, 2, None, ["m"]).count() == masks.squared_distances(none, keys=["m"]).count() == 0
+
+
+def test_voxels_of_runs_are_not_broadcast(spark):
+    from arbora.operators import masks
+    from arbora.session import stash
+
+    runs = stash(spark.range(50).selectExpr("id as tree", "0L as z", "0L as y", "0L as x0", "400L as x1"), "runs")
+    places = spark.range(50).selectExpr("id as tree", "id as vx", "0L as vy", "0L as vz")
+    plan = masks.radii_at(places, runs, (1.0, 1.0, 1.0), ["tree"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
