@@ -1,14 +1,25 @@
-"""Label masks as tables of runs along x: (z, y, x0, x1), half open. With keys, a table holds a mask for each of their values, apart from all others."""
+"""Label masks as tables of runs along x: (z, y, x0, x1), half open. With keys, a table holds a mask for each of their values, apart from all others.
+
+Components are found block by block: runs are cut at the borders of blocks of space, a block's pieces are labelled together, and only components that reach a
+border are joined to those of other blocks. A block holds a bounded number of pieces, however large its mask.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arbora.operators.forest import components
+from arbora.session import stash
+
+BLOCK = {"z": 32, "y": 32, "x": 256}  # sizes of a block; borders lie half a block off 0
 
 
 def encode(voxels: DataFrame, x: str = "vx", y: str = "vy", z: str = "vz", keys: Sequence[str] = ()) -> DataFrame:
@@ -22,30 +33,116 @@ def decode(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return runs.select(*keys, F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"))
 
 
-def run_links(runs: DataFrame, slack: int = 1, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs of runs of a mask that touch, corners included: rows at most one apart and spans that meet with slack one."""
-    key = F.struct(*keys, "z", "y", "x0")
-    a = runs.select(*keys, key.alias("a"), "z", "y", "x0", "x1", F.explode(F.array(*(F.struct(F.lit(i).alias("dz"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s"))
-    a = a.select(*keys, "a", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = runs.select(*keys, key.alias("b"), "z", "y", "x0", "x1")
-    return a.join(b, [*keys, "z", "y"]).where((F.col("a1") + slack > F.col("x0")) & (F.col("x1") + slack > F.col("a0"))).select("a", "b")
-
-
 def label(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add label: the first run of each 26-connected component, as the number z * 10^12 + y * 10^6 + x0; it is a mask's own.
 
-    Where x or y are negative or reach 10^6 the number counts from their smallest values and by their spans instead, so that no two runs share it.
+    Where x or y are negative or reach 10^6 the number counts from their smallest values and by their spans instead, so that no two runs share it. Rows with a null are left out.
     """
+    runs = stash(runs.dropna(subset=[*keys, "z", "y", "x0", "x1"]), "runs")
     box = runs.agg(F.min("y"), F.max("y"), F.min("x0"), F.max("x0")).first()
     low_y, top_y, low_x, top_x = (v if v is not None else 0 for v in box)
     off_y, off_x = min(low_y, 0), min(low_x, 0)
     span_x, span_y = max(10**6, top_x - off_x + 1), max(10**6, top_y - off_y + 1)
     of = lambda c: (F.col(c("z")) * span_y + (F.col(c("y")) - off_y)) * span_x + F.col(c("x0")) - off_x
-    node = lambda c: F.struct(*(F.col(c(k)).alias(k) for k in keys), of(c).alias("at")) if keys else of(c)
-    side = lambda s: node(lambda c: f"{s}.{c}")
-    comp = components(run_links(runs, keys=keys).select(side("a").alias("src"), side("b").alias("dst")))
-    own = runs.withColumn("node", node(str))
-    return own.join(comp.select("node", F.col("component.at" if keys else "component").alias("label")), "node").drop("node")
+    own = runs.withColumn("at", of(str))
+    cut = {c: F.floor((F.col(c) + BLOCK[c] // 2) / BLOCK[c]).cast("long") for c in "zy"}
+    slab = lambda v: F.floor((v + BLOCK["x"] // 2) / BLOCK["x"]).cast("long")
+    low, high = (F.col("bx") + i for i in (0, 1))
+    low, high = (v * BLOCK["x"] - BLOCK["x"] // 2 for v in (low, high))
+    pieces = own.withColumns({"bz": cut["z"], "by": cut["y"], "bx": F.explode(F.sequence(slab(F.col("x0")), F.greatest(slab(F.col("x0")), slab(F.col("x1") - 1))))})
+    pieces = pieces.withColumns({"p0": F.greatest("x0", low), "p1": F.least("x1", high)})
+    block = [*keys, "bz", "by", "bx"]
+    rows = pieces.repartition(*block).sortWithinPartitions(*block, "z", "y", "p0")
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", part long"
+    told = stash(rows.mapInArrow(lambda batches: _parts(batches, block), form), "parts")
+    # components that reach a border of their block may go on in the next
+    edge = reduce(Column.__or__, (F.pmod(F.col(c) + BLOCK[c] // 2, F.lit(BLOCK[c])).isin(0, BLOCK[c] - 1) for c in "zy")) | (F.col("p0") == low) | (F.col("p1") == high)
+    at_edge = told.where(edge).select(*block, "z", "y", F.col("p0").alias("x0"), F.col("p1").alias("x1"), "part")
+    node = lambda c: F.struct(*keys, F.col(c).alias("at"))
+    links = stash(_border_links(at_edge, keys).select(node("part").alias("src"), node("part_").alias("dst")).distinct(), "links")
+    first = told.where(slab(F.col("x0")) == F.col("bx"))
+    if links.isEmpty():
+        return first.select(*runs.columns, F.col("part").alias("label"))
+    comp = components(links).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.at").alias("part"), F.col("component.at").alias("whole"))
+    return first.join(comp.hint("merge"), [*keys, "part"], "left").select(*runs.columns, F.coalesce("whole", "part").alias("label"))
+
+
+def _border_links(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, part, part_) of pieces of different blocks that touch, corners included."""
+    block = ["bz", "by", "bx"]
+    steps = F.array(*(F.struct(F.lit(i).alias("dz"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = pieces.select(*keys, *block, "part", "x0", "x1", F.col("z").alias("z_"), F.col("y").alias("y_"), F.explode(steps).alias("s")).select(*keys, *block, "part", "x0", "x1", (F.col("z_") + F.col("s.dz")).alias("z"), (F.col("y_") + F.col("s.dy")).alias("y"))
+    b = pieces.select(*keys, "z", "y", *(F.col(c).alias(f"{c}_") for c in (*block, "part", "x0", "x1")))
+    met = a.join(b, [*keys, "z", "y"]).where("x1 >= x0_ and x1_ >= x0 and part <> part_")
+    return met.where(reduce(Column.__or__, (F.col(c) != F.col(f"{c}_") for c in block))).select(*keys, "part", "part_")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], block: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of block, z, y and p0, with part: the smallest `at` of their component in their block. A block may go on in the next batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        new = np.flatnonzero(_changes(t, block))
+        if len(new) < 2:
+            held = t
+            continue
+        held = t.slice(int(new[-1]))
+        yield from _labelled(t.slice(0, int(new[-1])), block)
+    if held is not None and held.num_rows:
+        yield from _labelled(held, block)
+
+
+def _changes(t: pa.Table, block: list[str]) -> np.ndarray:
+    """Where a row's block is not that of the row before."""
+    out = np.zeros(t.num_rows, bool)
+    out[:1] = True
+    for c in block:
+        col = t.column(c)
+        out[1:] |= pc.not_equal(col.slice(0, len(col) - 1), col.slice(1)).to_numpy()
+    return out
+
+
+def _labelled(t: pa.Table, block: list[str]) -> Iterator[pa.RecordBatch]:
+    t = t.combine_chunks()
+    group = np.cumsum(_changes(t, block)) - 1
+    z, y, x0, x1, at = (t.column(c).to_numpy() for c in ("z", "y", "p0", "p1", "at"))
+    n, (nz, ny) = len(z), ((BLOCK["z"] + 2), (BLOCK["y"] + 2))
+    # rows of neighbouring blocks never have neighbouring numbers
+    row = (group * nz + (z + BLOCK["z"] // 2) % BLOCK["z"]) * ny + (y + BLOCK["y"] // 2) % BLOCK["y"]
+    far = BLOCK["x"] + 2
+    left = (x0 + BLOCK["x"] // 2) % BLOCK["x"]
+    right = left + x1 - x0
+    begins = row * far + left
+    # of a row's pieces up to each one the farthest end, so that overlapping ones are found too
+    ends = np.maximum.accumulate(row * far + right)
+    label = np.arange(n)
+    for step in (0, 1, ny - 1, ny, ny + 1):
+        base = (row + step) * far
+        a = np.maximum(np.searchsorted(ends, base + left, "left"), np.searchsorted(begins, base, "left"))
+        b = np.searchsorted(begins, base + right, "right")
+        size = np.maximum(b - a, 0)
+        one = np.repeat(np.arange(n), size)
+        two = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        touch = (x1[two] >= x0[one]) & (one != two)
+        label = _met(label, one[touch], two[touch])
+    yield from t.append_column("part", pa.array(at[label], pa.int64())).to_batches()
+
+
+def _met(label: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Labels (each a smallest place) after the places one and two have met."""
+    while len(one):
+        a, b = label[one], label[two]
+        apart = a != b
+        one, two = one[apart], two[apart]
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            on = label[label]
+            if np.array_equal(on, label):
+                break
+            label = on
+    return label
 
 
 def sizes(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
