@@ -1,5 +1,6 @@
 """Orders, levels and components on hand-computed trees and graphs."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arbora import registry
 from arbora.operators import forest as T
+from arbora.session import stash
 
 BALANCED = [(0, None), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2)]
 TWO_OF_THREE = [(0, None), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, 3)]
@@ -199,3 +201,27 @@ def test_crowded_cells_are_split(spark):
     cell = lambda c, size: F.floor(F.col(c) / size).alias(f"k{c}")
     size = proximity._uncrowded(places, 1.0, 2.0, cell)
     assert places.groupBy(*(cell(c, size) for c in "xyz")).count().agg(F.max("count")).first()[0] < 200
+
+def test_components_of_random_graphs_and_loops(spark):
+    pick = random.Random(5)
+    edges = [(pick.randrange(900), pick.randrange(900)) for _ in range(600)] + [(2000, 2000)] + [(3000 + i, 9000) for i in range(20)]
+    left = {}
+
+    def top(n):
+        while left.setdefault(n, n) != n:
+            n = left[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        left[b] = a
+    got = {r.node: r.component for r in T.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {n: top(n) for n in left}
+
+
+def test_edges_shrink_from_round_to_round_of_components(spark, monkeypatch):
+    # every round read all edges again
+    sizes = []
+    monkeypatch.setattr(T, "stash", lambda df, tag: (kept := stash(df, tag), tag == "live" and sizes.append(kept.count()))[0])
+    T.components(spark.createDataFrame([(i, i + 1) for i in range(200)] + [(i, 400 + i) for i in range(200)], "src long, dst long"))
+    assert sizes[0] == 400 and sizes[-1] == 0 and len(sizes) == 2
