@@ -1,8 +1,9 @@
 """Spanning forests and the choice of links, in rounds over all components at once.
 
 spanning_forest takes each component's best edge in every round and merges what they join (Boruvka), so rounds follow the logarithm of the number
-of nodes; of parallel edges between two components only the best is carried on. select_links takes, in every round, the candidates that are the best of
-both components they touch: what a greedy pass by rank would take, because nothing better can still change their ends or components.
+of nodes; of parallel edges between two components only the best is carried on. select_links takes, in every round, the candidates that are the best at
+both their ends and of one of the components they touch: what a greedy pass by rank would take, because nothing better can still use their ends or join that
+component to anything. So one large component does not wait for its links one by one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.forest import to_root
+from arbora.operators.forest import components, to_root
 from arbora.session import drop, stash
 
 
@@ -62,15 +63,18 @@ def select_links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     live = stash(live.select("cand_id", "source", "target", "rank", own("source", "a"), own("anchor", "b")), "live")
     chosen = stash(live.limit(0).select("cand_id", "source", "target", "rank"), "chosen")
     while not (open_ := live.where("a <> b")).isEmpty():
-        best = open_.select("rank", F.explode(F.array("a", "b")).alias("side")).groupBy("side").agg(F.min("rank").alias("top"))
-        at = lambda c: best.select(F.col("side").alias(c), F.col("top").alias(f"top_{c}"))
-        won = stash(open_.join(at("a"), "a").join(at("b"), "b").where("rank = top_a and rank = top_b").select("cand_id", "source", "target", "rank", "a", "b"), "won")
+        top = lambda *sides: open_.select("rank", F.explode(F.array(*sides)).alias("side")).where("side is not null").groupBy("side").agg(F.min("rank").alias("top"))  # noqa: E731, B023
+        parts, at_ends = top("a", "b"), top("source", "target")
+        at = lambda best, c: best.select(F.col("side").alias(c), F.col("top").alias(f"top_{c}"))
+        ranks = open_.join(at(parts, "a"), "a").join(at(parts, "b"), "b").join(at(at_ends, "source"), "source").join(at(at_ends, "target"), "target", "left")
+        first = (F.col("rank") == F.col("top_source")) & (F.col("target").isNull() | (F.col("rank") == F.col("top_target"))) & ((F.col("rank") == F.col("top_a")) | (F.col("rank") == F.col("top_b")))
+        won = stash(ranks.where(first).select("cand_id", "source", "target", "rank", "a", "b"), "won")
         before, chosen = chosen, stash(chosen.unionByName(won.select("cand_id", "source", "target", "rank")), "chosen")
         drop(before)
         used = won.select(F.explode(F.array("source", "target")).alias("end")).where("end is not null").distinct()
         left = open_.join(used, F.col("source") == F.col("end"), "left_anti").join(used, F.col("target") == F.col("end"), "left_anti")
-        # a component wins with at most one candidate, so merges are pairs
-        into = won.select(F.greatest("a", "b").alias("from"), F.least("a", "b").alias("to"))
+        # links of one round join no ring, but many components can meet
+        into = components(won, "a", "b").select(F.col("node").alias("from"), F.col("component").alias("to"))
         for c in "ab":
             left = left.join(into.withColumnsRenamed({"from": c, "to": "to_"}), c, "left").withColumn(c, F.coalesce("to_", c)).drop("to_")
         before, live = live, stash(left.select("cand_id", "source", "target", "rank", "a", "b"), "live")

@@ -81,6 +81,18 @@ def test_select_links(spark, seed):
     assert got == greedy(rows, nodes)
 
 
+def test_links_of_one_component_in_one_round(spark, monkeypatch):
+    """A component that gets many links does not take a round for each."""
+    rows = [(i, i, 1000 + i, 1000 + i, float(i % 7), "accept") for i in range(40)] + [(100 + i, i, 1000 + (i + 1) % 40, 1000 + (i + 1) % 40, -1.0, "accept") for i in range(40)]
+    nodes = {1000 + i: 0 for i in range(40)}
+    rounds, real = [], spanning.stash
+    monkeypatch.setattr(spanning, "stash", lambda df, tag: rounds.append(tag) or real(df, tag))
+    df = spark.createDataFrame(rows, "cand_id long, source long, target long, anchor long, confidence double, status string")
+    got = {r.cand_id: (r.chosen, r.reason) for r in spanning.select_links(df, spark.createDataFrame(list(nodes.items()), "node long, component long")).collect()}
+    assert got == greedy(rows, nodes)
+    assert rounds.count("won") == 1
+
+
 def test_parallel_edges_keep_the_best(spark):
     df = spark.createDataFrame([(0, 1, 2, 5.0), (1, 2, 1, 3.0), (2, 1, 2, 4.0), (3, None, 2, 1.0)], "edge_id long, src long, dst long, w double")
     assert [r.edge_id for r in spanning.spanning_forest(df, F.col("w")).collect()] == [1]
