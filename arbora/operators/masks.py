@@ -9,7 +9,7 @@ Cavities are components (6 neighbours) of the gaps between a row's runs that nev
 reaches beyond its first or last run. So only gaps are labelled, never the surroundings.
 
 Dilation and erosion by a ball move runs by each offset (dz, dy) of its disc and shrink or widen them by what is left in x; a sweep along each
-row counts how many cover a place. Distances are squared, separable, one axis at a time: along x they follow from the runs, along y and z each
+row counts how many cover a place. Pieces of lines and moved runs are made block by block from the runs in and round a block, so a run is sent about once. Distances are squared, separable, one axis at a time: along x they follow from the runs, along y and z each
 column's consecutive voxels take the lower envelope of parabolas, which a voxel's own value bounds to a few neighbours.
 
 Keys keep masks apart. Empty tables give empty results. Runs of a mask may overlap or touch; where a function needs longest runs it makes them.
@@ -17,7 +17,7 @@ Keys keep masks apart. Empty tables give empty results. Runs of a mask may overl
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arbora.operators.forest import components
-from arbora.operators.voxels import label
+from arbora.operators.voxels import Window3, count_in_blocks, in_blocks, label
 from arbora.session import stash
 
 
@@ -61,13 +60,43 @@ def less(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return covered(side(a, 1, 0).unionByName(side(b, 0, 1)), ["own", "other"], (F.col("own") > 0) & (F.col("other") == 0), keys)
 
 
+def _longest(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of places that touch or overlap, as one."""
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.concatenate(([True], begin[1:] > end[:-1]))
+    return begin[new], end[np.concatenate((new[1:], [True]))]
+
+
+def _where(enough: Callable[..., np.ndarray], *sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest stretches of the places where `enough` holds of how many stretches of each side cover them."""
+    at, of = np.unique(np.concatenate([v for side in sides for v in side]), return_inverse=True)
+    levels, done = [], 0
+    for begin, end in sides:
+        a, b = of[done : done + len(begin)], of[done + len(begin) : done + len(begin) + len(end)]
+        done += len(begin) + len(end)
+        levels.append(np.cumsum(np.bincount(a, minlength=len(at)) - np.bincount(b, minlength=len(at))))
+    held = np.flatnonzero(enough(*levels))  # no stretch goes on after the last place
+    return _longest(at[held], at[held + 1]) if len(held) else (at[:0], at[:0])
+
+
+def _pieces(w: Window3) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of lines begin, and how they count."""
+    rows = [((0, 0),), ((0, 0), (1, 0)), ((0, 0), (0, 1)), ((0, 0), (0, 1), (1, 0), (1, 1))]
+    begins, signs = [], []
+    for line, sign in zip(rows, (1, -1, -1, 1)):
+        move = np.array([w.step(*d) for d in line])[:, None]
+        begin, _ = _longest(*(((w.row + move) * w.far + x).ravel() for x in (w.x0, w.x1)))
+        begins.append(begin)
+        signs.append(np.full(len(begin), sign))
+    return np.concatenate(begins), np.concatenate(signs)
+
+
 def euler(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, euler): the Euler number of every mask."""
-    rows = [(0, 0, 3), (0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0), (0, 0, 1), (1, 0, 1), (0, 0, 2), (0, 1, 2)]  # dz, dy, kind of line
-    lines = runs.select(*keys, "x0", "x1", "z", "y", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dz", "dy", "kind"), r))) for r in rows))).alias("l"))
-    lines = lines.select(*keys, F.col("l.kind").alias("kind"), (F.col("z") + F.col("l.dz")).alias("z"), (F.col("y") + F.col("l.dy")).alias("y"), "x0", "x1")
-    pieces = _joined(lines, [*keys, "kind", "z", "y"])
-    return pieces.groupBy(*keys).agg(F.sum(F.when(F.col("kind").isin(0, 3), 1).otherwise(-1)).cast("long").alias("euler"))
+    return count_in_blocks(runs, 1, _pieces, keys).withColumnRenamed("n", "euler")
 
 
 def cavities(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -75,15 +104,16 @@ def cavities(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     row = [*keys, "z", "y"]
     whole = stash(united(runs, keys), "runs")
     along = Window.partitionBy(*row).orderBy("x0")
-    gaps = stash(whole.select(*row, F.col("x1").alias("g0"), F.lead("x0").over(along).alias("g1")).where("g1 is not null").withColumn("gap", F.struct(*keys, "z", "y", "g0")), "gaps")
+    gaps = whole.select(*row, F.col("x1").alias("g0"), F.lead("x0").over(along).alias("g1")).where("g1 is not null").select(*row, F.col("g0").alias("x0"), F.col("g1").alias("x1"))
+    # what all four rows beside a row span; where one has no runs, nothing is enclosed
     extent = whole.groupBy(*row).agg(F.min("x0").alias("low"), F.max("x1").alias("high"))
     steps = F.explode(F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
-    near = gaps.select("gap", *keys, "g0", "g1", "z", "y", steps.alias("s")).select("gap", *keys, (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), "g0", "g1", (F.col("s.dz") + F.col("s.dy") > 0).alias("up"))
-    open_ = near.join(extent, row, "left").where("low is null or g0 < low or g1 > high").select("gap").distinct().withColumn("open", F.lit(True))
-    beside = near.where("up").join(gaps.select(*row, F.col("gap").alias("other"), F.col("g0").alias("o0"), F.col("g1").alias("o1")), row).where("g0 < o1 and o0 < g1")
-    comp = components(beside.select(F.col("gap").alias("src"), F.col("other").alias("dst")))
-    told = gaps.join(comp.select(F.col("node").alias("gap"), "component"), "gap", "left").join(open_, "gap", "left").withColumn("cavity", F.coalesce("component", "gap"))
-    return told.groupBy(*keys, F.struct("cavity.z", "cavity.y", F.col("cavity.g0").alias("x")).alias("cavity")).agg(F.sum(F.col("g1") - F.col("g0")).alias("n_voxels"), F.count("open").alias("n_open")).where("n_open = 0").drop("n_open")
+    beside = extent.withColumn("s", steps).select(*keys, (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), "low", "high")
+    beside = beside.groupBy(*row).agg(F.count("*").alias("n"), F.max("low").alias("low"), F.min("high").alias("high")).where("n = 4").drop("n")
+    told = label(gaps, keys, corners=False).join(beside.hint("merge"), row, "left")
+    shut = F.count_if(F.col("low").isNull() | (F.col("x0") < F.col("low")) | (F.col("x1") > F.col("high")))
+    found = told.groupBy(*keys, "label").agg(F.min(F.struct("z", "y", F.col("x0").alias("x"))).alias("cavity"), F.sum(F.col("x1") - F.col("x0")).alias("n_voxels"), shut.alias("n_open"))
+    return found.where("n_open = 0").select(*keys, "cavity", "n_voxels")
 
 
 def betti(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -94,40 +124,57 @@ def betti(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     key = [*keys] or ["one"]
     one = lambda df: df if keys else df.withColumn("one", F.lit(1))
     held = one(stash(cavities(whole, keys), "cavities")).groupBy(*key).agg(F.count("*").alias("b2"))
-    both = one(parts).join(one(euler(whole, keys)), key).join(held, key, "left").withColumn("b2", F.coalesce("b2", F.lit(0)))
+    both = one(parts).join(one(euler(whole, keys)).hint("merge"), key).join(held.hint("merge"), key, "left").withColumn("b2", F.coalesce("b2", F.lit(0)))
     return both.select(*keys, "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2", "euler")
 
 
-def _disc(radius: int) -> Column:
+def _disc(radius: int) -> list[tuple[int, int, int]]:
     """(dz, dy, w) of a ball's rows, each reaching w to both sides."""
-    rows = [(dz, dy, int(np.sqrt(radius * radius - dz * dz - dy * dy) + 1e-9)) for dz in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dz * dz + dy * dy <= radius * radius]
-    return F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dz, dy, w in rows))
+    return [(dz, dy, int(np.sqrt(radius * radius - dz * dz - dy * dy) + 1e-9)) for dz in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dz * dz + dy * dy <= radius * radius]
+
+
+def _own(w: Window3, kinds: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest runs of the kinds, as places."""
+    of = np.isin(w.kind, kinds)
+    return _longest(*(w.row[of] * w.far + x[of] for x in (w.x0, w.x1)))
+
+
+def _grown(w: Window3, runs: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    begin, end = (np.concatenate([v + w.step(dz, dy) * w.far + s * x for dz, dy, x in _disc(radius)]) for v, s in zip(runs, (-1, 1)))
+    return _longest(begin, end)
+
+
+def _shrunk(w: Window3, runs: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    begin, end = runs
+    spans = [(begin[fits] - w.step(dz, dy) * w.far + x, end[fits] - w.step(dz, dy) * w.far - x) for dz, dy, x in _disc(radius) for fits in (end - begin > 2 * x,)]
+    return _where(lambda n: n == len(spans), (np.concatenate([s[0] for s in spans]), np.concatenate([s[1] for s in spans])))
 
 
 def dilated(runs: DataFrame, radius: int, keys: Sequence[str] = ()) -> DataFrame:
     """The mask and all voxels within a radius of it."""
-    moved = runs.select(*keys, "z", "y", "x0", "x1", F.explode(_disc(radius)).alias("d"))
-    return _joined(moved.select(*keys, (F.col("z") + F.col("d.dz")).alias("z"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x0") - F.col("d.w")).alias("x0"), (F.col("x1") + F.col("d.w")).alias("x1")), [*keys, "z", "y"])
+    return in_blocks(runs.drop("kind"), radius, lambda w: _grown(w, _own(w, [0]), radius), keys)
 
 
 def eroded(runs: DataFrame, radius: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Voxels of which the whole ball lies in the mask: those that every row of the ball covers. Needs longest runs."""
-    disc = _disc(radius)
-    moved = runs.select(*keys, "z", "y", "x0", "x1", F.explode(disc).alias("d"))
-    spans = moved.select(*keys, (F.col("z") - F.col("d.dz")).alias("z"), (F.col("y") - F.col("d.dy")).alias("y"), (F.col("x0") + F.col("d.w")).alias("x0"), (F.col("x1") - F.col("d.w")).alias("x1"), F.lit(1).alias("n"))
-    rows = sum(dz * dz + dy * dy <= radius * radius for dz in range(-radius, radius + 1) for dy in range(-radius, radius + 1))
-    return covered(spans.where("x0 < x1"), ["n"], F.col("n") == rows, keys)
+    """Voxels of which the whole ball lies in the mask."""
+    return in_blocks(runs.drop("kind"), radius, lambda w: _shrunk(w, _own(w, [0]), radius), keys)
+
+
+def _shut(w: Window3, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    return _shrunk(w, _grown(w, _own(w, [0]), radius), radius)
 
 
 def closed(runs: DataFrame, radius: int, keys: Sequence[str] = ()) -> DataFrame:
     """Dilation, then erosion by the ball of a radius in voxels."""
-    return united(runs, keys) if radius < 1 else eroded(dilated(runs, radius, keys), radius, keys)
+    return united(runs, keys) if radius < 1 else in_blocks(runs.drop("kind"), 2 * radius, lambda w: _shut(w, radius), keys)
 
 
 def closing_additions(runs: DataFrame, radius: int, blocked: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Runs that closing adds to every mask, outside blocked (runs with the same keys)."""
-    taken = runs.select(*keys, "z", "y", "x0", "x1")
-    return less(closed(runs, radius, keys), taken if blocked is None else taken.unionByName(blocked.select(*keys, "z", "y", "x0", "x1")), keys)
+    side = lambda df, kind: df.select(*keys, "z", "y", "x0", "x1", F.lit(kind).alias("kind"))
+    both = side(runs, 0) if blocked is None else side(runs, 0).unionByName(side(blocked, 1))
+    new = lambda w: _where(lambda a, b: (a > 0) & (b == 0), _shut(w, radius), _own(w, [0, 1]))
+    return in_blocks(both.where("kind = 0").limit(0) if radius < 1 else both, 2 * max(radius, 1), new, keys)
 
 
 def envelope(f: np.ndarray, ends: np.ndarray, step: float) -> np.ndarray:

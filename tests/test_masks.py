@@ -139,3 +139,32 @@ def test_voxels_of_runs_are_not_broadcast(spark):
     places = spark.range(50).selectExpr("id as tree", "id as vx", "0L as vy", "0L as vz")
     plan = masks.radii_at(places, runs, (1.0, 1.0, 1.0), ["tree"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_masks_wider_than_a_block(spark):
+    """What crosses the borders of blocks in z, y and x is as in one piece: each mask moved by half a block and stretched along x."""
+    rows = [(m, z + 16, y + 16, 40 * a + 100, 40 * b + 100) for m, z, y, a, b in run_rows(KINDS)]
+    wide = spark.createDataFrame(rows, "m int, z long, y long, x0 long, x1 long")
+    assert {r.m: r.euler for r in masks.euler(wide, ["m"]).collect()} == {k: topology(solid(kind))[3] for k, kind in enumerate(KINDS)}
+    got = {r.m: (r.b0, r.b1, r.b2) for r in masks.betti(wide, ["m"]).collect()}
+    assert got == {k: topology(solid(kind))[:3] for k, kind in enumerate(KINDS)}
+    cells = {}
+    for m, z, y, a, b in rows:
+        cells.setdefault(m, set()).update((z, y, x) for x in range(a, b))
+    ball = [d for d in product((-1, 0, 1), repeat=3) if sum(map(abs, d)) < 2]
+    grown = {m: {(c[0] + d[0], c[1] + d[1], c[2] + d[2]) for c in own for d in ball} for m, own in cells.items()}
+    inside = lambda own: {c for c in own if all((c[0] + d[0], c[1] + d[1], c[2] + d[2]) in own for d in ball)}
+    for df, want in ((masks.dilated(wide, 1, ["m"]), grown), (masks.eroded(wide, 1, ["m"]), {m: inside(c) for m, c in cells.items()}), (masks.closing_additions(wide, 1, None, ["m"]), {m: inside(c) - cells[m] for m, c in grown.items()})):
+        found, n = {}, 0
+        for r in df.collect():
+            found.setdefault(r.m, set()).update((r.z, r.y, x) for x in range(r.x0, r.x1))
+            n += r.x1 - r.x0
+        assert found == {m: c for m, c in want.items() if c} and n == sum(map(len, found.values()))
+
+
+def test_closing_sends_a_run_about_once(spark):
+    """Not once for every row of the ball, neither there nor for Euler numbers."""
+    wide = spark.createDataFrame([(m, 0, 0, 0, 5) for m in range(50)], "m int, z long, y long, x0 long, x1 long")
+    for df in (masks.closing_additions(wide, 3, None, ["m"]), masks.euler(wide, ["m"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "dz" not in plan
