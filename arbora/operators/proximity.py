@@ -161,11 +161,19 @@ def voxels(points: DataFrame, size: float, keys: list[str] | None = None) -> Dat
     return points.select(*(keys or []), *(_cell(size, c).alias(f"v{c}") for c in AXES)).distinct()
 
 
+TASK_CELLS = 1_000_000  # cells of lines in one partition, on average
+
+
 def rasterise(segments: DataFrame, size: float) -> DataFrame:
-    """Cells of the digital lines between (x, y, z) and (x1, y1, z1): as many steps as the longest axis needs, rounded half up."""
+    """Cells of the digital lines between (x, y, z) and (x1, y1, z1): as many steps as the longest axis needs, rounded half up.
+
+    Segments are dealt to as many partitions as their cells fill, because a line may pass any number.
+    """
     cells = {c: F.floor(F.col(c) / size) for c in (*AXES, "x1", "y1", "z1")}
     rows = segments.select("edge_id", *(v.alias(c) for c, v in cells.items()))
     n = F.greatest(*(F.abs(F.col(f"{c}1") - F.col(c)) for c in AXES))
+    n_cells = rows.agg(F.sum(n + 1)).first()[0] or 0
+    rows = rows.repartition(max(1, math.ceil(n_cells / TASK_CELLS)), "edge_id")
     t = rows.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
     at = lambda c: F.floor(F.col(c) + F.when(F.col("n") > 0, F.col("k") * (F.col(f"{c}1") - F.col(c)) / F.col("n")).otherwise(0.0) + 0.5)
     return t.select("edge_id", *(at(c).alias(f"v{c}") for c in AXES)).distinct()
