@@ -115,6 +115,27 @@ def _best(looks: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
     return looks.join(lists, keys).select("q_id", pick.alias("best")).groupBy("q_id").agg(F.min("best").alias("best"))
 
 
+def nearest_accepted(queries: DataFrame, build: DataFrame, gate: float, keep: list[str], accept: Callable[[DataFrame], DataFrame], q_id: str = "q_id", b_id: str = "b_id") -> DataFrame:
+    """The nearest build point within gate that accept leaves of a query's pairs (columns as those of within()); ties of rounded distances to the smaller id.
+
+    Cells hold few places each at first and double up to the gate; a query that finds one goes no further, so only those that find none see all pairs within the gate.
+    """
+    fine = build.where(reduce(Column.__and__, (F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in AXES)))
+    size = _uncrowded(fine, gate, gate, lambda c, size: _cell(size, c).alias(f"k{c}"))
+    rest, found = stash(queries, "asked"), []
+    while True:
+        # a rounded distance may be that of a pair a little beyond, so what is found near the edge waits for the next round
+        sure = float("inf") if size >= gate else size - 2e-9
+        pairs = accept(within(rest, fine, size, keep, q_id, b_id))
+        best = pairs.groupBy("q_id").agg(F.min(F.struct(F.round("d", 9).alias("near"), "b_id", "d")).alias("best"))
+        found.append(stash(best.select("q_id", "best.b_id", "best.d").where(F.col("d") <= sure), "near"))
+        if size >= gate:
+            return reduce(DataFrame.unionByName, found)
+        before, rest = rest, stash(rest.join(found[-1].select(F.col("q_id").alias(q_id)), q_id, "left_anti"), "asked")
+        drop(before)
+        size = min(2 * size, gate)
+
+
 def in_spheres(nodes: DataFrame, anchors: DataFrame, reach: Column, *keep: str) -> DataFrame:
     """(anchor_id, node_id, anchors' columns, kept columns as node_*, d) of nodes within an anchor's own reach.
 
