@@ -11,6 +11,9 @@ control bytes when partitions are asked for. With byte_lattice_pushed, condition
 write() deals slices to tasks, each of which encodes its slices one by one and leaves one part: a folder with `header` and `part-00000`, `part-00001`, ... that,
 one after another, are a file of the format; the source reads such folders and single files alike. A task that is run again writes the same part again.
 
+write_pieces() leaves out what is empty round the runs: every range of slices that holds any is a whole file of the format, cropped to the box of its runs, with the
+place of its first voxel as Origin among its Parameters. So what is written follows the boxes of the runs, not the lattice. read_pieces() reads such folders.
+
 Paths are those of a file system that driver and executors share: plain, file: or any that pyarrow.fs knows. Options: path, field (the first, if none is given),
 slices (of a partition, 64). Headers that say other things than a uniform grid of single bytes are refused; so are payloads that end too early, runs
 outside the lattice, overlapping runs of different values, and values outside 1 to 255. Null runs are left out.
@@ -45,6 +48,7 @@ class Header(NamedTuple):
     n_bytes: int
     materials: tuple[str, ...]
     offset: int
+    origin: tuple[int, ...] = (0, 0, 0)
 
 
 def _open(path: str):
@@ -77,7 +81,12 @@ def parse_header(raw: bytes, field: str | None = None) -> Header:
         raise ValueError(f"field {field or fields[0][2]} is not one byte a voxel in the first data block")
     nx, ny, nz = map(int, size.groups())
     _, _, name, _, encoding, n = chosen[0]
-    return Header(nx, ny, nz, tuple(map(float, box[1].split())), name, encoding or None, int(n) if n else nx * ny * nz, _materials(text), found.end())
+    return Header(nx, ny, nz, tuple(map(float, box[1].split())), name, encoding or None, int(n) if n else nx * ny * nz, _materials(text), found.end(), _origin(text))
+
+
+def _origin(text: str) -> tuple[int, ...]:
+    found = re.search(r"(?m)^\s*Origin (\d+) (\d+) (\d+),?\s*$", text)
+    return tuple(map(int, found.groups())) if found else (0, 0, 0)
 
 
 def _materials(text: str) -> tuple[str, ...]:
@@ -173,11 +182,9 @@ def encode(lengths: list[tuple[int, int]]) -> bytes:
             plain.extend(bytes([value]) * n)
             continue
         settle()
-        while n:
-            k = min(n, MOST)
-            out.append(k)
-            out.append(value)
-            n -= k
+        out.extend(bytes([MOST, value]) * (n // MOST))
+        if n % MOST:
+            out.extend(bytes([n % MOST, value]))
     settle()
     return bytes(out)
 
@@ -256,6 +263,32 @@ class PushedReader(LatticeReader):
                 yield f
 
 
+class Pieces(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class PiecesReader(DataSourceReader):
+    """Reads the files that write_pieces() left, some a partition; their headers are read in the tasks."""
+
+    def __init__(self, options: dict):
+        self.path, self.tasks = options["path"].rstrip("/"), int(options.get("tasks", 400))
+
+    def partitions(self) -> list[Pieces]:
+        fs, at = _open(self.path)
+        names = sorted(f.base_name for f in fs.get_file_info(pa.fs.FileSelector(at)) if re.fullmatch(r"piece-\d+", f.base_name))
+        return [Pieces([f"{self.path}/{n}" for n in names[i :: self.tasks]]) for i in range(max(1, min(self.tasks, len(names))))]
+
+    def read(self, part: Pieces) -> Iterator[pa.RecordBatch]:
+        for path in part.paths:
+            own = LatticeReader({"path": path})
+            by = dict(zip(("x0", "y", "z"), own.head.origin), x1=own.head.origin[0], value=0)
+            for slices in own.partitions():
+                for batch in own.read(slices):
+                    columns = [pa.array(c.to_numpy() + np.array(by[n], c.type.to_pandas_dtype())) for n, c in zip(batch.schema.names, batch.columns)]
+                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 class LatticeSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -268,6 +301,15 @@ class LatticeSource(DataSource):
         return LatticeReader(self.options)
 
 
+class PiecesSource(LatticeSource):
+    @classmethod
+    def name(cls) -> str:
+        return "byte_lattice_pieces"
+
+    def reader(self, schema) -> PiecesReader:
+        return PiecesReader(self.options)
+
+
 class PushedLatticeSource(LatticeSource):
     """The same with conditions on z; Spark refuses it unless spark.sql.python.filterPushdown.enabled is true."""
 
@@ -279,11 +321,12 @@ class PushedLatticeSource(LatticeSource):
         return PushedReader(self.options)
 
 
-def header_text(nx: int, ny: int, nz: int, box: tuple[float, ...], n_bytes: int, field: str = "Labels", materials: tuple[str, ...] = ()) -> str:
+def header_text(nx: int, ny: int, nz: int, box: tuple[float, ...], n_bytes: int, field: str = "Labels", materials: tuple[str, ...] = (), origin: tuple[int, ...] | None = None) -> str:
     named = "".join(f"        {m} {{\n            Id {i + 1}\n        }}\n" for i, m in enumerate(materials))
     listed = f"    Materials {{\n{named}    }}\n" if materials else ""
     bounds = " ".join(repr(float(v)) for v in box)
-    return f'{MAGIC}\n\n\ndefine Lattice {nx} {ny} {nz}\n\nParameters {{\n{listed}    Content "{nx}x{ny}x{nz} byte, uniform coordinates",\n    BoundingBox {bounds},\n    CoordType "uniform"\n}}\n\nLattice {{ byte {field} }} @1({PACKED},{n_bytes})\n\n{DATA_LINE}\n@1\n'
+    begin = f"    Origin {' '.join(map(str, origin))},\n" if origin else ""
+    return f'{MAGIC}\n\n\ndefine Lattice {nx} {ny} {nz}\n\nParameters {{\n{listed}{begin}    Content "{nx}x{ny}x{nz} byte, uniform coordinates",\n    BoundingBox {bounds},\n    CoordType "uniform"\n}}\n\nLattice {{ byte {field} }} @1({PACKED},{n_bytes})\n\n{DATA_LINE}\n@1\n'
 
 
 def slice_bytes(rows: list[tuple[int, int, int, int]], nx: int, ny: int) -> bytes:
@@ -343,6 +386,46 @@ def write(runs: DataFrame, path: str, size: tuple[int, int, int], box: tuple[flo
         f.write(header_text(nx, ny, nz, box, n, field, materials).encode("latin-1"))
 
 
+def write_pieces(runs: DataFrame, path: str, size: tuple[int, int, int], field: str = "Labels", materials: tuple[str, ...] = (), slices: int = 64) -> None:
+    """Write runs as a folder of cropped files, one for every `slices` slices that hold any; voxels are 1 wide and the first lies at 0. See write()."""
+    nx, ny, nz = size
+    fs, at = _open(path)
+    if fs.get_file_info(at).type != pa.fs.FileType.NotFound:
+        raise FileExistsError(path)
+    clean = runs.where(" and ".join(f"{c} is not null" for c in ("z", "y", "x0", "x1", "value"))).select(F.floor(F.col("z") / slices).alias("part"), "z", "y", "x0", "x1", "value")
+    outside = (F.col("z") < 0) | (F.col("z") >= nz) | (F.col("y") < 0) | (F.col("y") >= ny) | (F.col("x0") < 0) | (F.col("x1") > nx) | (F.col("x0") >= F.col("x1"))
+    if not clean.where(outside).isEmpty():
+        raise ValueError(f"runs lie outside the lattice of {nx} by {ny} by {nz}")
+    fs.create_dir(at)
+
+    def put(key: tuple, own: pa.Table) -> pa.Table:
+        fs, at = _open(path)
+        z, y, x0, x1, value = (own.column(c).to_numpy() for c in ("z", "y", "x0", "x1", "value"))
+        origin, end = tuple(int(v.min()) for v in (x0, y, z)), tuple(int(v.max()) for v in (x1, y + 1, z + 1))
+        wide, deep, tall = (b - a for a, b in zip(origin, end))
+        held: dict[int, list] = {}
+        for k, *run in zip((z - origin[2]).tolist(), (y - origin[1]).tolist(), (x0 - origin[0]).tolist(), (x1 - origin[0]).tolist(), value.tolist()):
+            held.setdefault(k, []).append(tuple(run))
+        raw = [slice_bytes(held.get(k, []), wide, deep) for k in range(tall)]
+        n = sum(map(len, raw))
+        box = tuple(float(v) for a, b in zip(origin, end) for v in (a, b - 1))
+        name = f"{at}/piece-{key[0].as_py():07d}"
+        with fs.open_output_stream(f"{name}.tmp") as f:
+            f.write(header_text(wide, deep, tall, box, n, field, materials, origin).encode("latin-1"))
+            for piece in raw:
+                f.write(piece)
+        fs.move(f"{name}.tmp", name)
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    clean.groupBy("part").applyInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def read_pieces(spark, path: str) -> DataFrame:
+    """The runs of a folder that write_pieces() made."""
+    spark.dataSource.register(PiecesSource)
+    return spark.read.format(PiecesSource.name()).option("path", path).load()
+
+
 def read(spark, path: str, **options: object) -> DataFrame:
     """The runs of a lattice; conditions on z reach the source where the session lets them."""
     source = PushedLatticeSource if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true" else LatticeSource

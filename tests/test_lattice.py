@@ -109,3 +109,21 @@ def test_empty_lattice(spark, tmp_path):
     none = spark.createDataFrame([], lattice.SCHEMA)
     lattice.write(none, str(tmp_path / "e"), (5, 4, 3))
     assert lattice.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_pieces(spark, tmp_path):
+    """Runs far from one another come back from pieces as wide as they are, where the whole lattice would take gigabytes."""
+    rng = np.random.default_rng(5)
+    want = []
+    for k in range(6):
+        for i in rng.choice(5000, 300, replace=False):
+            want.append((k * 9 + int(i) % 9, int(i) // 9 % 40, k * 100_000 + int(i) * 3, k * 100_000 + int(i) * 3 + 1 + int(i) % 3 // 2, 1 + int(i) % 250))
+    runs = spark.createDataFrame(want, "z long, y long, x0 long, x1 long, value int")
+    lattice.write_pieces(runs, str(tmp_path / "p"), (600_000, 40, 60), slices=9)
+    files = list((tmp_path / "p").glob("piece-*"))
+    assert len(files) == 6 and sum(f.stat().st_size for f in files) < 1_000_000  # whole: 600,000 * 40 * 60 / 127 * 2 = 22 MB
+    assert sorted(map(tuple, lattice.read_pieces(spark, str(tmp_path / "p")).collect())) == sorted(want)
+    with pytest.raises(ValueError, match="outside"):
+        lattice.write_pieces(runs, str(tmp_path / "q"), (600_000, 40, 50), slices=9)
+    lattice.write_pieces(runs.limit(0), str(tmp_path / "e"), (10, 10, 10))
+    assert lattice.read_pieces(spark, str(tmp_path / "e")).count() == 0
