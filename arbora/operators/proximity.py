@@ -99,7 +99,8 @@ def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: s
         off = lambda c: F.greatest(F.col(f"k{c}") * size + low[c] - F.col(c), F.col(c) - low[c] - (F.col(f"k{c}") + 1) * size, F.lit(0.0))
         home = reduce(Column.__and__, (F.col(f"k{c}") == F.floor((F.col(c) - low[c]) / size) for c in AXES))
         near = sum((off(c) * off(c) for c in AXES), F.lit(0.0)) <= F.col("reach") * F.col("reach")
-        beyond = _best(out.where(near & ~home).select("q_id", *AXES, *keys), lists, keys)
+        # what is found at home joins what is found beyond before the best is taken, so candidates are dealt by query once
+        beyond = _picks(out.where(near & ~home).select("q_id", *AXES, *keys), lists, keys)
         found.append(stash(first.unionByName(beyond).groupBy("q_id").agg(F.min("best").alias("best")).select("q_id", "best.b_id", "best.d"), "near"))
         drop(lists)
         rest = seen.where("best is null").select("q_id", *AXES)
@@ -109,10 +110,14 @@ def nearest_widening(queries: DataFrame, build: DataFrame, start: float, q_id: s
 
 
 def _best(looks: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
-    """(q_id, best) of looks into cells that hold any: the nearest as (rounded distance, b_id, d)."""
+    return _picks(looks, lists, keys).groupBy("q_id").agg(F.min("best").alias("best"))
+
+
+def _picks(looks: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """(q_id, best) of each look into a list of a cell: the nearest as (rounded distance, b_id, d)."""
     d = lambda p: distance(*((F.col(c), p[c]) for c in AXES))
     pick = F.array_min(F.transform("there", lambda p: F.struct(F.round(d(p), 9).alias("near"), p["b_id"].alias("b_id"), d(p).alias("d"))))
-    return looks.join(lists, keys).select("q_id", pick.alias("best")).groupBy("q_id").agg(F.min("best").alias("best"))
+    return looks.join(lists, keys).select("q_id", pick.alias("best"))
 
 
 def nearest_accepted(queries: DataFrame, build: DataFrame, gate: float, keep: list[str], accept: Callable[[DataFrame], DataFrame], q_id: str = "q_id", b_id: str = "b_id") -> DataFrame:
