@@ -1,7 +1,7 @@
 """Trees and graphs: degrees, components, levels, orders, closures, flow and pruning.
 
-What is folded along a node's way to its root (depth, flow, rejection) takes rounds that double the way: log depth joins of one row a node. Orders
-go up level by level. Each round's table goes through the shared folder, so lineage and plans stay short. Nothing about nodes is held by
+What is folded along a node's way to its root (depth, flow, rejection) takes rounds that double the way: log depth joins of one row a node. Such joins are by
+merge, because files of a table between rounds are so much smaller than its rows that Spark would broadcast millions of them. Orders go up level by level. Each round's table goes through the shared folder, so lineage and plans stay short. Nothing about nodes is held by
 the driver but whether a round changed anything. Nodes that reach no root (a parent that is missing, a cycle) are left out of walks; folds
 that need every node refuse a cycle.
 """
@@ -37,7 +37,7 @@ def to_root(tree: DataFrame, **folds: tuple[Column, Callable[[Column, Column], C
         going = now.where("at is not null")
         if going.isEmpty():
             break
-        up = now.select(F.col("node").alias("at"), F.col("at").alias("at_"), F.col("root").alias("root_"), F.col("depth").alias("depth_"), *(F.col(k).alias(f"{k}_") for k in folds))
+        up = now.select(F.col("node").alias("at"), F.col("at").alias("at_"), F.col("root").alias("root_"), F.col("depth").alias("depth_"), *(F.col(k).alias(f"{k}_") for k in folds)).hint("merge")
         met = going.join(up, "at").select("node", F.col("at_").alias("at"), F.col("root_").alias("root"), (F.col("depth") + F.col("depth_") + 1).alias("depth"), *(f(F.col(k), F.col(f"{k}_")).alias(k) for k, (_, f) in folds.items()))
         before, now = now, stash(met.unionByName(now.where("at is null")), "ways")
         drop(before)
@@ -54,7 +54,7 @@ def strahler(tree: DataFrame) -> DataFrame:
 
     Trees of more than LEVELS levels are folded in log rounds instead (upward.py).
     """
-    deep = stash(levels(tree).join(tree.select("node", "parent"), "node"), "levels")
+    deep = stash(levels(tree).join(tree.select("node", "parent").hint("merge"), "node"), "levels")
     last = deep.agg(F.max("depth")).first()[0]
     if last is not None and last > LEVELS:
         from arbora.operators import upward  # it builds on this module
@@ -68,7 +68,7 @@ def strahler(tree: DataFrame) -> DataFrame:
         else:
             n = below.groupBy(F.col("parent").alias("node"), "strahler").agg(F.count("*").alias("k"))
             top = n.groupBy("node").agg(F.max(F.struct("strahler", "k")).alias("t")).select("node", (F.col("t.strahler") + F.when(F.col("t.k") > 1, 1).otherwise(0)).alias("o"))
-            own = here.join(top, "node", "left").withColumn("strahler", F.coalesce("o", F.lit(1).cast("long"))).drop("o")
+            own = here.join(top.hint("merge"), "node", "left").withColumn("strahler", F.coalesce("o", F.lit(1).cast("long"))).drop("o")
         below = stash(own, "orders")
         done = below if done is None else done.unionByName(below)
     return (done if done is not None else deep.withColumn("strahler", F.lit(1).cast("long"))).select("node", "depth", "strahler")
@@ -106,6 +106,22 @@ def nearest_above(tree: DataFrame, marked: DataFrame, label: str) -> DataFrame:
     return found.where("mark is not null").select("node", F.col("mark.label").alias(label), "mark.hops")
 
 
+def above(tree: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node): marked nodes and all that lie on their ways to the root. By doubling: log depth rounds of at most one row a node."""
+    found = stash(tree.join(marked.select("node").distinct(), "node", "left_semi").select("node"), "above")
+    jump = stash(tree.where("parent is not null").select("node", F.col("parent").alias("at")), "jumps")
+    for _ in range(2 + max(jump.count(), 1).bit_length()):
+        if jump.isEmpty():
+            break
+        far = jump.select(F.col("node").alias("at"), F.col("at").alias("further")).hint("merge")
+        reached = found.join(jump.hint("merge"), "node").select(F.col("at").alias("node"))
+        before, found = found, stash(found.unionByName(reached).distinct(), "above")
+        drop(before)
+        before, jump = jump, stash(jump.join(far, "at").select("node", F.col("further").alias("at")), "jumps")
+        drop(before)
+    return found.join(tree.select("node").hint("merge"), "node", "left_semi")
+
+
 def flow_split(tree: DataFrame, radius: str = "radius", power: float = 2.27) -> DataFrame:
     """Share of the root's flow in every node: siblings share their parent's by diameter to the power; equally where all are 0."""
     weight = F.pow(2 * F.col(radius), F.lit(power))

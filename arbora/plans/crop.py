@@ -20,10 +20,19 @@ VESSELS = {"left": (1, 3, 7, 15, 31), "right": (2, 6, 14, 30)}
 DROPPED, PRUNED = (62, 8, 3), (17, 30, 129)
 
 
-def _segments(spark, d):
-    tree = stash(table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") > 0, F.expr("(o_orderkey - 1) div 2")).alias("parent")), "tree")
+def _tree(spark, d):
+    return stash(table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") > 0, F.expr("(o_orderkey - 1) div 2")).alias("parent")), "tree")
+
+
+def _measured(spark, d, tree):
+    """The segments of a tree with the radii at their take-offs."""
     radii = C.takeoff_radius(schema.points(spark, d), FACTOR)
-    return stash(tree.join(radii.withColumnRenamed("edge_id", "node"), "node", "left").join(strahler(tree).select("node", "strahler"), "node"), "segments")
+    return tree.join(radii.withColumnRenamed("edge_id", "node").hint("merge"), "node", "left")
+
+
+def _segments(spark, d):
+    tree = _tree(spark, d)
+    return stash(_measured(spark, d, tree).join(strahler(tree).select("node", "strahler").hint("merge"), "node"), "segments")
 
 
 def _named(spark):
@@ -35,7 +44,7 @@ def takeoff_radii(spark, d):
 
 
 def vessel_ostia(spark, d):
-    return rounded(C.vessel_ostia(_segments(spark, d), _named(spark)))
+    return rounded(C.vessel_ostia(_measured(spark, d, _tree(spark, d)), _named(spark)))
 
 
 def _plan(spark, d, tree):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from arbora.operators import crop
+from arbora.session import stash
 
 
 def walk(rows, vessels, order, radius, ratio, unattributed, dropped, pruned):
@@ -79,6 +80,33 @@ def test_without_marks_or_segments(spark):
     assert crop.crop_plan(tree.limit(0), none, min_radius=2.0).count() == 0
 
 
+def broadcast_rows(spark, since):
+    """The most rows that any execution after `since` sent to all tasks, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        i = runs.apply(k).executionId()
+        last = max(last, i)
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for n in (nodes.apply(j) for j in range(nodes.size()) if i > since):
+            metrics = n.metrics()
+            if n.name() == "BroadcastExchange":
+                found = [values.get(m.accumulatorId()) for m in (metrics.apply(j) for j in range(metrics.size())) if m.name() == "number of output rows"]
+                most = max([most, *(int(v.get().replace(",", "")) for v in found if v.isDefined())])
+    return most, last
+
+
+def test_segments_are_not_broadcast(spark):
+    """Tables of a row a segment take little room in files, but only the vessels' few rows are sent to all tasks."""
+    tree = stash(spark.range(20_000, numPartitions=3).selectExpr("id as node", "if(id > 0, (id - 1) div 2, null) as parent", "double(id % 7) as takeoff", "int(id % 5) as strahler"), "tree")
+    vessels = spark.createDataFrame([(1, "a"), (2, "b")], "node long, vessel string")
+    _, last = broadcast_rows(spark, -1)
+    plan = crop.crop_plan(tree, vessels, 2, 1.0, 0.5)
+    assert crop.crop_counts(plan, tree).first().n_before == 20_000 and crop.vessel_ostia(tree, vessels).count() == 2
+    assert 0 < broadcast_rows(spark, last)[0] < 100
+
+
 def test_takeoff_radius(spark):
     rows = [(0, k, float(k), 0.0, 0.0, r) for k, r in enumerate([2.0, 1.9, 1.8, 1.7, 1.0, 0.5])] + [(1, 0, 0.0, 0.0, 0.0, 7.0)] + [(2, k, 0.1 * k, 0.0, 0.0, 3.0 - k) for k in range(3)]
     points = spark.createDataFrame([(*r, r[0] == 2) for r in rows], "edge_id long, pos long, x double, y double, z double, r double, back boolean").repartition(3)
