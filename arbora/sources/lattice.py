@@ -11,8 +11,10 @@ control bytes when partitions are asked for. With byte_lattice_pushed, condition
 write() deals slices to tasks, each of which encodes its slices one by one and leaves one part: a folder with `header` and `part-00000`, `part-00001`, ... that,
 one after another, are a file of the format; the source reads such folders and single files alike. A task that is run again writes the same part again.
 
-write_pieces() leaves out what is empty round the runs: every range of slices that holds any is a whole file of the format, cropped to the box of its runs, with the
-place of its first voxel as Origin among its Parameters. So what is written follows the boxes of the runs, not the lattice. read_pieces() reads such folders.
+write_pieces() leaves out what is empty: a piece is a whole file of the format that has only those columns, rows and slices in which its runs lie, with their places as Kept
+among its Parameters (stretches as begin+length; an empty column follows each, so that runs of two stretches never touch). A range of slices is cut into pieces of at most
+SPARSE voxels a run (of more only if one row's unbroken runs have more), which lie one after another in one file. So what is written follows the runs, however far apart they
+lie in the lattice. read_pieces() reads such folders.
 
 Paths are those of a file system that driver and executors share: plain, file: or any that pyarrow.fs knows. Options: path, field (the first, if none is given),
 slices (of a partition, 64). Headers that say other things than a uniform grid of single bytes are refused; so are payloads that end too early, runs
@@ -34,6 +36,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 SCHEMA = "z long, y long, x0 long, x1 long, value int"
 MOST = 127
+SPARSE = 1000  # voxels of a piece to each of its runs, at most
 # fixed words of the format
 MAGIC, DATA_LINE, PACKED = "# Avizo BINARY-LITTLE-ENDIAN 3.0", "# Data section follows", "HxByteRLE"
 
@@ -48,7 +51,7 @@ class Header(NamedTuple):
     n_bytes: int
     materials: tuple[str, ...]
     offset: int
-    origin: tuple[int, ...] = (0, 0, 0)
+    kept: tuple[tuple[tuple[int, int], ...], ...] = ()
 
 
 def _open(path: str):
@@ -81,12 +84,13 @@ def parse_header(raw: bytes, field: str | None = None) -> Header:
         raise ValueError(f"field {field or fields[0][2]} is not one byte a voxel in the first data block")
     nx, ny, nz = map(int, size.groups())
     _, _, name, _, encoding, n = chosen[0]
-    return Header(nx, ny, nz, tuple(map(float, box[1].split())), name, encoding or None, int(n) if n else nx * ny * nz, _materials(text), found.end(), _origin(text))
+    return Header(nx, ny, nz, tuple(map(float, box[1].split())), name, encoding or None, int(n) if n else nx * ny * nz, _materials(text), found.end(), _kept(text))
 
 
-def _origin(text: str) -> tuple[int, ...]:
-    found = re.search(r"(?m)^\s*Origin (\d+) (\d+) (\d+),?\s*$", text)
-    return tuple(map(int, found.groups())) if found else (0, 0, 0)
+def _kept(text: str) -> tuple[tuple[tuple[int, int], ...], ...]:
+    """(begin, length) of the stretches of columns, rows and slices that a piece has; none if it isn't one."""
+    found = re.search(r'(?m)^\s*Kept "([\d+ ]+),([\d+ ]+),([\d+ ]+)",?\s*$', text)
+    return tuple(tuple(tuple(map(int, stretch.split("+"))) for stretch in axis.split()) for axis in found.groups()) if found else ()
 
 
 def _materials(text: str) -> tuple[str, ...]:
@@ -269,7 +273,7 @@ class Pieces(InputPartition):
 
 
 class PiecesReader(DataSourceReader):
-    """Reads the files that write_pieces() left, some a partition; their headers are read in the tasks."""
+    """Reads the files that write_pieces() left, some a partition; headers are read in the tasks."""
 
     def __init__(self, options: dict):
         self.path, self.tasks = options["path"].rstrip("/"), int(options.get("tasks", 400))
@@ -281,12 +285,30 @@ class PiecesReader(DataSourceReader):
 
     def read(self, part: Pieces) -> Iterator[pa.RecordBatch]:
         for path in part.paths:
-            own = LatticeReader({"path": path})
-            by = dict(zip(("x0", "y", "z"), own.head.origin), x1=own.head.origin[0], value=0)
-            for slices in own.partitions():
-                for batch in own.read(slices):
-                    columns = [pa.array(c.to_numpy() + np.array(by[n], c.type.to_pandas_dtype())) for n, c in zip(batch.schema.names, batch.columns)]
-                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            fs, at = _open(path)
+            with fs.open_input_stream(at) as f:
+                raw = f.read()
+            yield from _pieces_of(raw)
+
+
+def _pieces_of(raw: bytes) -> Iterator[pa.RecordBatch]:
+    """The runs of the pieces that lie one after another in a file."""
+    at = 0
+    while at < len(raw):
+        # a header is short but for its stretches, so the part searched grows
+        size = 4096
+        while re.search(rb"(?m)^@\d+\r?\n", raw[at : at + size]) is None and at + size < len(raw):
+            size *= 4
+        head = parse_header(raw[at : at + size])
+        begin = at + head.offset
+        at = begin + head.n_bytes
+        if at > len(raw):
+            raise ValueError(f"the payload ends after {len(raw) - begin} of {head.n_bytes} bytes")
+        volume = decode(raw[begin:at], 0, head.nx * head.ny * head.nz).reshape(1, head.nz * head.ny, head.nx)
+        runs = _runs(volume[0], 0)
+        x, y, z = (np.concatenate([np.arange(a, a + n + (axis == 0)) for a, n in stretches]) for axis, stretches in enumerate(head.kept))
+        row, x0, x1 = (runs.column(c).to_numpy() for c in ("y", "x0", "x1"))
+        yield pa.RecordBatch.from_arrays([pa.array(z[row // head.ny]), pa.array(y[row % head.ny]), pa.array(x[x0]), pa.array(x[x1 - 1] + 1), runs.column("value")], ["z", "y", "x0", "x1", "value"])
 
 
 class LatticeSource(DataSource):
@@ -321,11 +343,11 @@ class PushedLatticeSource(LatticeSource):
         return PushedReader(self.options)
 
 
-def header_text(nx: int, ny: int, nz: int, box: tuple[float, ...], n_bytes: int, field: str = "Labels", materials: tuple[str, ...] = (), origin: tuple[int, ...] | None = None) -> str:
+def header_text(nx: int, ny: int, nz: int, box: tuple[float, ...], n_bytes: int, field: str = "Labels", materials: tuple[str, ...] = (), kept: list[list[tuple[int, int]]] | None = None) -> str:
     named = "".join(f"        {m} {{\n            Id {i + 1}\n        }}\n" for i, m in enumerate(materials))
     listed = f"    Materials {{\n{named}    }}\n" if materials else ""
     bounds = " ".join(repr(float(v)) for v in box)
-    begin = f"    Origin {' '.join(map(str, origin))},\n" if origin else ""
+    begin = '    Kept "' + ",".join(" ".join(f"{a}+{n}" for a, n in axis) for axis in kept) + '",\n' if kept else ""
     return f'{MAGIC}\n\n\ndefine Lattice {nx} {ny} {nz}\n\nParameters {{\n{listed}{begin}    Content "{nx}x{ny}x{nz} byte, uniform coordinates",\n    BoundingBox {bounds},\n    CoordType "uniform"\n}}\n\nLattice {{ byte {field} }} @1({PACKED},{n_bytes})\n\n{DATA_LINE}\n@1\n'
 
 
@@ -386,8 +408,60 @@ def write(runs: DataFrame, path: str, size: tuple[int, int, int], box: tuple[flo
         f.write(header_text(nx, ny, nz, box, n, field, materials).encode("latin-1"))
 
 
+def _stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of what the half-open stretches a to b fill, those that touch as one."""
+    order = np.argsort(a, kind="stable")
+    a, top = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.append(True, a[1:] > top[:-1]))
+    return a[first], top[np.append(first[1:], len(a)) - 1] - a[first]
+
+
+def _cut(z: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of runs, sorted by (z, y, x0), that make a piece each: halved until a range's kept columns, rows and slices are at most SPARSE voxels a run.
+
+    Runs of a row that touch stay together.
+    """
+    row = np.append(True, (z[1:] != z[:-1]) | (y[1:] != y[:-1]))
+    lead = np.flatnonzero(row)[np.cumsum(row) - 1]
+    # the farthest end so far in a row: ends are lifted by a row's number, so that one running maximum does
+    far = int(x1.max()) + 1
+    reach = np.maximum.accumulate(x1 + lead * far) - lead * far
+    free = np.flatnonzero(row | np.append(True, x0[1:] > reach[:-1]))
+    out, todo = [], [(0, len(z))]
+    while todo:
+        a, b = todo.pop()
+        begin, n = _stretches(x0[a:b], x1[a:b])
+        volume = (int(n.sum()) + len(n)) * len(np.unique(y[a:b])) * len(np.unique(z[a:b]))
+        inner = free[np.searchsorted(free, a, "right") : np.searchsorted(free, b)]
+        if volume <= SPARSE * (b - a) or not len(inner):
+            out.append((a, b))
+        else:
+            k = min(int(np.searchsorted(inner, (a + b) // 2)), len(inner) - 1)
+            todo += [(int(inner[k]), b), (a, int(inner[k]))]
+    return out
+
+
+def _piece(z: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, value: np.ndarray, field: str, materials: tuple[str, ...]) -> bytes:
+    """A file of the format with the columns, rows and slices of these runs alone."""
+    begin, wide = _stretches(x0, x1)
+    start = np.cumsum(wide + 1) - (wide + 1)
+    of = np.searchsorted(begin, x0, "right") - 1
+    left = x0 - begin[of] + start[of]
+    at, kept = [], [list(zip(begin.tolist(), wide.tolist()))]
+    for v in (y, z):
+        places, own = np.unique(v, return_inverse=True)
+        at.append((own, len(places)))
+        kept.append([(int(a), int(n)) for a, n in zip(*_stretches(places, places + 1))])
+    (iy, ny), (iz, nz) = at
+    nx = int(wide.sum()) + len(wide)
+    # its slices lie one after another, so it is encoded as one slice of all rows
+    raw = slice_bytes(list(zip((iz * ny + iy).tolist(), left.tolist(), (left + x1 - x0).tolist(), value.tolist())), nx, ny * nz)
+    box = (float(x0.min()), float(x1.max() - 1), float(y.min()), float(y.max()), float(z.min()), float(z.max()))
+    return header_text(nx, ny, nz, box, len(raw), field, materials, kept).encode("latin-1") + raw
+
+
 def write_pieces(runs: DataFrame, path: str, size: tuple[int, int, int], field: str = "Labels", materials: tuple[str, ...] = (), slices: int = 64) -> None:
-    """Write runs as a folder of cropped files, one for every `slices` slices that hold any; voxels are 1 wide and the first lies at 0. See write()."""
+    """Write runs as a folder of files of pieces, one for every `slices` slices that hold any; voxels are 1 wide and the first lies at 0. See write()."""
     nx, ny, nz = size
     fs, at = _open(path)
     if fs.get_file_info(at).type != pa.fs.FileType.NotFound:
@@ -400,20 +474,15 @@ def write_pieces(runs: DataFrame, path: str, size: tuple[int, int, int], field:
 
     def put(key: tuple, own: pa.Table) -> pa.Table:
         fs, at = _open(path)
-        z, y, x0, x1, value = (own.column(c).to_numpy() for c in ("z", "y", "x0", "x1", "value"))
-        origin, end = tuple(int(v.min()) for v in (x0, y, z)), tuple(int(v.max()) for v in (x1, y + 1, z + 1))
-        wide, deep, tall = (b - a for a, b in zip(origin, end))
-        held: dict[int, list] = {}
-        for k, *run in zip((z - origin[2]).tolist(), (y - origin[1]).tolist(), (x0 - origin[0]).tolist(), (x1 - origin[0]).tolist(), value.tolist()):
-            held.setdefault(k, []).append(tuple(run))
-        raw = [slice_bytes(held.get(k, []), wide, deep) for k in range(tall)]
-        n = sum(map(len, raw))
-        box = tuple(float(v) for a, b in zip(origin, end) for v in (a, b - 1))
-        name = f"{at}/piece-{key[0].as_py():07d}"
+        columns = [own.column(c).to_numpy() for c in ("z", "y", "x0", "x1", "value")]
+        order = np.lexsort(columns[2::-1])
+        columns = [c[order] for c in columns]
+        name, n = f"{at}/piece-{key[0].as_py():07d}", 0
         with fs.open_output_stream(f"{name}.tmp") as f:
-            f.write(header_text(wide, deep, tall, box, n, field, materials, origin).encode("latin-1"))
-            for piece in raw:
-                f.write(piece)
+            for a, b in _cut(*columns[:4]):
+                raw = _piece(*(c[a:b] for c in columns), field, materials)
+                f.write(raw)
+                n += len(raw)
         fs.move(f"{name}.tmp", name)
         return pa.table({"n": pa.array([n], pa.int64())})
 

@@ -127,3 +127,19 @@ def test_pieces(spark, tmp_path):
         lattice.write_pieces(runs, str(tmp_path / "q"), (600_000, 40, 50), slices=9)
     lattice.write_pieces(runs.limit(0), str(tmp_path / "e"), (10, 10, 10))
     assert lattice.read_pieces(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_pieces_of_runs_spread_over_the_whole_lattice(spark, tmp_path):
+    """Runs with far more empty columns, rows and slices between them than they fill; files follow the runs, not the boxes round them."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    rows = {(int(z), int(y), int(x)): (1 + int(v), int(w)) for z, y, x, v, w in zip(rng.integers(0, 90, n), rng.integers(0, 400, n), rng.integers(0, 1_000_000, n) * 4, rng.integers(0, 255, n), rng.integers(1, 4, n))}
+    want = sorted((z, y, x, x + w, v) for (z, y, x), (v, w) in rows.items())
+    # a row of runs that touch, of one value and of others, and one that two runs overlap in
+    touching = [(7, 3, 10 * k, 10 * k + 10, 1 + k % 2) for k in range(3000)]
+    twice = [(8, 1, 50, 60, 9), (8, 1, 55, 70, 9), (8, 1, 70, 80, 9)]
+    runs = spark.createDataFrame(want + touching + twice, "z long, y long, x0 long, x1 long, value int").repartition(3)
+    lattice.write_pieces(runs, str(tmp_path / "p"), (4_000_010, 400, 90), slices=16)
+    files = list((tmp_path / "p").glob("piece-*"))
+    assert len(files) == 6 and sum(f.stat().st_size for f in files) < 1_000_000  # boxes: 90 * 400 * 4,000,000 / 127 * 2 = 2.3 GB
+    assert sorted(map(tuple, lattice.read_pieces(spark, str(tmp_path / "p")).collect())) == sorted([*want, *touching, (8, 1, 50, 80, 9)])
