@@ -109,6 +109,26 @@ def test_assignment_of_larger_tables():
                 assert cost[i, at[i]] <= cost[i, j] + 1e-12
 
 
+def test_greedy_matching_over_many_tiles(spark):
+    """Crowded points whose choices hang on one another across tiles, with equal distances, against a plain pass."""
+    rng = np.random.default_rng(8)
+    place = lambda n: np.round(rng.uniform(0, 1, (n, 3)) * (1, 0.3, 0.2), 2)
+    c, r, wide = place(1500), place(1400), rng.uniform(0.01, 0.12, 1400)
+    at = rng.permutation(5000)[:1500] - 700
+    free, want = np.ones(1400, bool), {}
+    for i in np.argsort(at):
+        d = np.sqrt((c[i, 0] - r[:, 0]) ** 2 + (c[i, 1] - r[:, 1]) ** 2 + (c[i, 2] - r[:, 2]) ** 2)
+        open_ = np.flatnonzero(free & (d < wide))
+        if len(open_):
+            k = open_[np.argmin(d[open_])]
+            free[k], want[int(at[i])] = False, int(k)
+    cands = spark.createDataFrame([(int(k), *map(float, p)) for k, p in zip(at, c)] + [(9000, float("nan"), 0.0, 0.0)], "id long, x double, y double, z double").repartition(3)
+    refs = spark.createDataFrame([(k, *map(float, p), float(w)) for k, (p, w) in enumerate(zip(r, wide))] + [(9000, 0.0, 0.0, 0.0, None), (9001, 0.0, 0.0, 0.0, -1.0)], "id long, x double, y double, z double, tolerance double")
+    got = matching.greedy_near(cands, refs).collect()
+    assert {x.cand: x.ref for x in got} == want and len(got) == len(want)
+    assert matching.greedy_near(cands, refs.limit(0)).count() == 0
+
+
 def test_student_quantiles(spark):
     # published two-sided 95 % values
     known = {1: 12.7062, 2: 4.3027, 3: 3.1824, 4: 2.7764, 5: 2.5706, 9: 2.2622, 10: 2.2281, 20: 2.0860, 30: 2.0423, 40: 2.0211, 60: 2.0003, 120: 1.9799}
